@@ -25,27 +25,17 @@ def number_text(value: str | Column) -> Column:
 
     Spark prints ``1.0E7`` and ``1.0E-4`` where the id needs ``10000000.0`` and ``0.0001``.
     """
-    text = _col(value).cast("string")
-    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    exponent = F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
-    whole = F.regexp_extract(text, r"^-?(\d+)\.", 1)
-    frac = F.regexp_replace(F.regexp_extract(text, r"\.(\d+)E", 1), "^0$", "")
-    digits = F.concat(whole, frac)
-    large = F.when(
-        F.length(frac) <= exponent, F.concat(F.rpad(digits, exponent + 1, "0"), F.lit(".0"))
-    ).otherwise(
-        F.concat(F.substring(digits, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, F.length(digits)))
+    v = _col(value)
+    size = F.abs(v)
+    text = v.cast("string")
+    positional = F.regexp_replace(v.try_cast("decimal(38,22)").cast("string"), r"(\.\d+?)0+$", "$1")
+    scientific = F.regexp_replace(F.regexp_replace(text, r"(\.0)?E(?=\d)", "e+"), r"(\.0)?E-", "e-")
+    scientific = F.regexp_replace(scientific, r"e-(\d)$", "e-0$1")
+    return (
+        F.when(((size >= 1e-3) & (size < 1e7)) | (size == 0), text)
+        .when((size >= 1e-4) & (size < 1e16), positional)
+        .otherwise(scientific)
     )
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    mantissa = F.when(frac == "", whole).otherwise(F.concat(whole, F.lit("."), frac))
-    scientific = F.concat(
-        mantissa,
-        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")),
-    )
-    positional = F.when(exponent >= 0, large).otherwise(small)
-    shown = F.when(exponent.between(-4, 15), positional).otherwise(scientific)
-    return F.when(~text.contains("E"), text).otherwise(F.concat(sign, shown))
 
 
 def event_id(metric: str | Column, event_us: str | Column, value: str | Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegauge.config import MICROS
@@ -22,47 +22,8 @@ ISO_PATTERN = (
 ISO_WEEK_PATTERN = r"^(\d{4})(-?)W(\d{2})(?:\2([1-7]))?(?=$|[^\d])"
 
 
-def _part(text: Column, group: int, missing: str) -> Column:
-    found = F.regexp_extract(text, ISO_PATTERN, group)
-    return F.when(found == "", F.lit(missing)).otherwise(found)
-
-
-def _week_date_as_calendar(text: Column) -> Column:
-    """Rewrite a leading ISO week date as YYYY-MM-DD; other text is returned unchanged."""
-    get = lambda g: F.regexp_extract(text, ISO_WEEK_PATTERN, g)
-    week = get(3).try_cast("int")
-    day = F.coalesce(get(4).try_cast("int"), F.lit(1))
-    fourth_of_january = F.concat(get(1), F.lit("-01-04")).try_cast("date")
-    date = F.date_add(F.trunc(fourth_of_january, "week"), (week - 1) * 7 + day - 1)
-    # the Thursday decides which year a week belongs to, so a wrong week 53 lands in the next year
-    thursday = F.date_add(date, 4 - day)
-    valid = week.between(1, 53) & (F.year(thursday) == get(1).try_cast("int"))
-    rest = F.regexp_replace(text, ISO_WEEK_PATTERN, "")
-    return F.when(~text.rlike(ISO_WEEK_PATTERN), text).when(
-        valid, F.concat(F.date_format(date, "yyyy-MM-dd"), rest)
-    )
-
-
-def iso_to_micros(text: str | Column) -> Column:
-    """ISO-8601 text to epoch microseconds, NULL when it is not a full calendar date or date-time.
-
-    ``Z`` means UTC and text without an offset is read as UTC, whatever the session time zone is.
-    Year-only and year-month text is refused, although a plain cast would accept it.
-    """
-    raw = F.regexp_replace(F.col(text) if isinstance(text, str) else text, "Z", "+00:00")
-    s = F.when(F.substring(raw, 5, 2).contains("W"), _week_date_as_calendar(raw)).otherwise(raw)
-    micro = F.rpad(F.substring(_part(s, 9, "0"), 1, 6), 6, "0")
-    instant = F.concat(
-        _part(s, 1, ""), F.lit("-"), _part(s, 3, ""), F.lit("-"), _part(s, 4, ""), F.lit("T"),
-        _part(s, 5, "00"), F.lit(":"), _part(s, 7, "00"), F.lit(":"), _part(s, 8, "00"),
-        F.lit("."), micro, F.lit("Z"),
-    )
-    hours, minutes, seconds = (_part(s, g, "0").try_cast("int") for g in (11, 13, 14))
-    shift = (hours * 3600 + minutes * 60 + seconds).cast("bigint") * MICROS
-    shift = F.when(_part(s, 10, "+") == "-", -shift).otherwise(shift)
-    fits = s.rlike(ISO_PATTERN) & (_part(s, 1, "") != "0000")
-    in_a_day = (hours <= 23) & (minutes <= 59) & (seconds <= 59)
-    return F.when(fits & in_a_day, F.unix_micros(F.try_to_timestamp(instant)) - shift)
+ISO_PARTS = "$1-$3-$4|$5|$7|$8|$9|$10|$11|$13|$14"
+ISO_WEEK_PARTS = "$1|$3|$4|"
 
 
 def epoch_in_range(seconds: Column) -> Column:
@@ -74,6 +35,48 @@ def epoch_to_micros(seconds: Column) -> Column:
     return F.when(epoch_in_range(seconds), F.round(seconds * MICROS).cast("bigint"))
 
 
+def _with_week_dates_rewritten(df: DataFrame, iso: str) -> DataFrame:
+    """Turn a leading ISO week date into YYYY-MM-DD; a week the year does not have becomes NULL."""
+    parts = F.when(F.col(iso).rlike(ISO_WEEK_PATTERN), F.split(F.regexp_replace(F.col(iso), ISO_WEEK_PATTERN, ISO_WEEK_PARTS), r"\|"))
+    year, week = F.col("_week")[0], F.col("_week")[1].try_cast("int")
+    day = F.coalesce(F.col("_week")[2].try_cast("int"), F.lit(1))
+    monday = F.date_add(F.trunc(F.concat(year, F.lit("-01-04")).try_cast("date"), "week"), (week - 1) * 7)
+    # the Thursday decides which year a week belongs to
+    valid = week.between(1, 53) & (F.year(F.date_add("_monday", 3)) == year.try_cast("int"))
+    rewritten = F.when(F.col("_week").isNull(), F.col(iso)).when(
+        valid, F.concat(F.date_format(F.date_add("_monday", day - 1), "yyyy-MM-dd"), F.col("_week")[3])
+    )
+    return df.withColumn("_week", parts).withColumn("_monday", monday).withColumn(iso, rewritten).drop("_week", "_monday")
+
+
+def add_event_micros(df: DataFrame, text: str, numeric: Column, out: str = "event_us") -> DataFrame:
+    """Add epoch microseconds of a timestamp field, NULL when it is not acceptable.
+
+    Where ``numeric`` holds, the field is Unix seconds within the accepted range. Elsewhere it is
+    ISO-8601 text: at least a full calendar date (a plain cast would also take a year or a month
+    alone), ``Z`` means UTC, and text without an offset is read as UTC in every session time zone.
+
+    The text is matched once and cut into its parts in a column of its own; doing it in a single
+    expression would repeat the match for each part and outgrow generated code.
+    """
+    iso = df.withColumn("_iso", F.regexp_replace(F.col(text), "Z", "+00:00"))
+    iso = _with_week_dates_rewritten(iso, "_iso")
+    parts = F.when(F.col("_iso").rlike(ISO_PATTERN), F.split(F.regexp_replace("_iso", ISO_PATTERN, ISO_PARTS), r"\|", -1))
+    cut = iso.withColumn("_p", parts)
+    p = F.col("_p")
+    instant = F.concat(
+        p[0], F.lit("T"), F.lpad(p[1], 2, "0"), F.lit(":"), F.lpad(p[2], 2, "0"), F.lit(":"), F.lpad(p[3], 2, "0"),
+        F.lit("."), F.rpad(p[4], 6, "0"), F.lit("Z"),
+    )
+    number = lambda i: F.lpad(p[i], 2, "0").cast("int")
+    inside = (number(6) <= 23) & (number(7) <= 59) & (number(8) <= 59) & ~p[0].startswith("0000")
+    shift = ((number(6) * 60 + number(7)) * 60 + number(8)).cast("bigint") * MICROS
+    read = cut.withColumn("_utc", F.when(inside, F.unix_micros(F.try_to_timestamp(instant))))
+    from_text = F.col("_utc") - F.when(p[5] == "-", -shift).otherwise(shift)
+    from_number = epoch_to_micros(F.col(text).try_cast("double"))
+    return read.withColumn(out, F.when(numeric, from_number).otherwise(from_text)).drop("_iso", "_p", "_utc")
+
+
 def micros_to_iso(event_us: str | Column) -> Column:
     """UTC ISO text; the fraction is left out when it is zero."""
     us = F.col(event_us) if isinstance(event_us, str) else event_us
