@@ -276,8 +276,3 @@ def latest_state(events: DataFrame, window_us: int, slices: int | None = None) -
         .select("metric", "event_us", *settle(n, F.col("avg"), F.col("ssd") / (n - 1), F.col("low"), F.col("high")))
     )
 
-
-def rolling_mean(df: DataFrame, order: list[str], column: str, rows: int = 1000, out: str = "rolling_mean") -> DataFrame:
-    """Mean of the last ``rows`` rows in the given order (for the short list of batch durations)."""
-    w = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(1 - rows, 0)
-    return df.withColumn(out, F.avg(column).over(w))
