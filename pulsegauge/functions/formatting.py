@@ -12,11 +12,13 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def two_decimals(value: str | Column, missing: str | None = None) -> Column:
-    text = F.format_string("%.2f", F.coalesce(_col(value), F.lit(0.0)) if missing is None else _col(value))
-    if missing is None:
-        return text
-    return F.when(_col(value).isNull(), F.lit(missing)).otherwise(text)
+def decimals(value: str | Column, places: int) -> Column:
+    """Fixed number of decimals, rounded from the exact binary value and without group separators."""
+    return F.replace(F.format_number(_col(value), places), F.lit(","), F.lit(""))
+
+
+def two_decimals(value: str | Column, missing: str = "0.00") -> Column:
+    return F.coalesce(decimals(value, 2), F.lit(missing))
 
 
 def display_number(value: str | Column) -> Column:
@@ -57,7 +59,7 @@ def deviation() -> Column:
 
 def deviation_label() -> Column:
     """Distance from the mean with its size in standard deviations, as ``12.34 (3.1σ)``."""
-    return F.format_string("%.2f (%.1fσ)", deviation(), F.abs(F.col("z_score")))
+    return F.concat(decimals(deviation(), 2), F.lit(" ("), decimals(F.abs("z_score"), 1), F.lit("σ)"))
 
 
 def event_time_label(event_us: str | Column = "event_us") -> Column:

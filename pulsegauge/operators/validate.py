@@ -93,17 +93,15 @@ def checked_fields(rows: DataFrame, allow_epoch: bool = False) -> DataFrame:
 def _finish(df: DataFrame, metric: Column, meta: Column, raw: Column) -> DataFrame:
     keep = ("source", "row_num")
     have = [F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in zip(keep, ("string", "bigint"))]
-    out = df.select(
-        *have,
-        "event_us",
-        F.timestamp_micros("event_us").alias("event_ts"),
-        metric.alias("metric"),
-        F.col("parsed_value").alias("value"),
-        meta.alias("meta_json"),
-        raw.alias("raw"),
-        "reason",
+    # Generated columns keep a later filter on the reason above this point. Pushed below, the filter
+    # would be rewritten in terms of the raw text and repeat the parsing once per use of a part.
+    verdict = F.struct(
+        "event_us", metric.alias("metric"), F.col("parsed_value").alias("value"), meta.alias("meta_json"), "reason"
+    )
+    out = df.select(*have, raw.alias("raw"), F.inline(F.array(verdict)))
+    return out.withColumns(
+        {"event_ts": F.timestamp_micros("event_us"), "event_id": event_id("metric", "event_us", "value")}
     )
-    return out.withColumn("event_id", event_id("metric", "event_us", "value"))
 
 
 def valid(checked: DataFrame) -> DataFrame:

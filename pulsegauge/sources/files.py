@@ -148,14 +148,14 @@ def read_txt(spark: SparkSession, paths: list[str], meta_rest: bool = False) ->
     return FileScan(rows, status)
 
 
-def read_json(spark: SparkSession, paths: list[str]) -> FileScan:
+def read_json(spark: SparkSession, paths: list[str], pattern: str = "*.[jJ][sS][oO][nN]") -> FileScan:
     """Files that hold one JSON array of events or one event object.
 
     A JSON array cannot be split, so each file is one task: this format suits many files of
     moderate size. Large inputs belong in JSON lines (``read_jsonl``), which split freely.
     """
     docs = (
-        spark.read.option("pathGlobFilter", "*.[jJ][sS][oO][nN]")
+        spark.read.option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
         .option("wholetext", "true")
         .text(paths)

@@ -39,7 +39,7 @@ def append_events(events: DataFrame, path: str, batch_id: int | None = None) ->
         dated.withColumn("batch_id", F.lit(batch_id))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id", "event_date")
+        .partitionBy("event_date", "batch_id")
         .parquet(path)
     )
 
