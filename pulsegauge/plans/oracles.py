@@ -80,15 +80,16 @@ MESSAGES = """m AS (SELECT event_id AS row_num, event_type, user_id % 8 AS form,
 
 def limiter(key: str) -> str:
     """Greedy minimum interval as a recursion from one sent alert to the next."""
-    return f"""a AS (SELECT {key} AS k, metric, event_us AS at, value, anomaly_id FROM z),
-      sent AS (SELECT k, min(at) AS at FROM a GROUP BY k
+    return f"""a AS (SELECT {key} AS k, metric, event_us, value, anomaly_id FROM z),
+      sent AS (SELECT k, min(event_us) AS sent_us FROM a GROUP BY k
         UNION ALL
-        SELECT sent.k, (SELECT min(a.at) FROM a WHERE a.k = sent.k AND a.at >= sent.at + {ALERT_US}) AS at
-        FROM sent WHERE EXISTS (SELECT 1 FROM a WHERE a.k = sent.k AND a.at >= sent.at + {ALERT_US})),
-      first_of AS (SELECT k, at, min(anomaly_id) AS anomaly_id FROM a GROUP BY k, at),
-      verdict AS (SELECT a.metric, a.at, a.value, (sent.at IS NOT NULL AND first_of.anomaly_id IS NOT NULL) AS sent
-        FROM a LEFT JOIN sent ON a.k = sent.k AND a.at = sent.at
-        LEFT JOIN first_of ON first_of.k = a.k AND first_of.at = a.at AND first_of.anomaly_id = a.anomaly_id)"""
+        SELECT sent.k, (SELECT min(a.event_us) FROM a WHERE a.k = sent.k AND a.event_us >= sent.sent_us + {ALERT_US})
+        FROM sent WHERE EXISTS (SELECT 1 FROM a WHERE a.k = sent.k AND a.event_us >= sent.sent_us + {ALERT_US})),
+      first_of AS (SELECT k, event_us, min(anomaly_id) AS anomaly_id FROM a GROUP BY k, event_us),
+      verdict AS (SELECT a.metric, a.event_us, a.value,
+        (sent.sent_us IS NOT NULL AND first_of.anomaly_id IS NOT NULL) AS sent
+        FROM a LEFT JOIN sent ON a.k = sent.k AND a.event_us = sent.sent_us
+        LEFT JOIN first_of ON first_of.k = a.k AND first_of.event_us = a.event_us AND first_of.anomaly_id = a.anomaly_id)"""
 
 
 RECURSIVE_ZID = WITH_ZID.replace("WITH ", "WITH RECURSIVE ", 1)
@@ -185,7 +186,8 @@ ORACLES: dict[str, str] = {
       WHERE o_orderstatus NOT IN ('F', 'O')""",
     "result_rules": """SELECT l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR AS key, 'anomaly_score' AS rule
       FROM lineitem WHERE NOT (l_tax * 20 - 0.1 BETWEEN 0 AND 1)""",
-    "empty_batches": "SELECT c_custkey AS batch_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "empty_batches": """SELECT c_custkey AS batch_id FROM customer
+      WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""",
     "distinct_metrics": "SELECT DISTINCT event_type AS metric FROM events",
     "batch_metrics": """SELECT strftime(o_orderdate, '%Y-%m-%d') AS batch_id, count(*) AS event_count,
       array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS metrics FROM orders GROUP BY 1""",
@@ -208,8 +210,8 @@ ORACLES: dict[str, str] = {
       (SELECT count(*) FROM good WHERE event_us >= {AS_OF_US}) AS queue_size,
       (SELECT {r('avg(value)')} FROM events) AS avg_processing_time_ms""",
     "fifo_order": f"WITH {EV} SELECT metric, event_us, value FROM ev ORDER BY metric, event_us",
-    "alert_rate_limit": f"{RECURSIVE_ZID}, {limiter(chr(39) * 2)} SELECT metric, at, value, sent FROM verdict",
-    "alert_rate_limit_by_metric": f"{RECURSIVE_ZID}, {limiter('metric')} SELECT metric, at, value, sent FROM verdict",
+    "alert_rate_limit": f"{RECURSIVE_ZID}, {limiter(chr(39) * 2)} SELECT metric, event_us, value, sent FROM verdict",
+    "alert_rate_limit_by_metric": f"{RECURSIVE_ZID}, {limiter('metric')} SELECT metric, event_us, value, sent FROM verdict",
     "alert_tally": f"""{RECURSIVE_ZID}, {limiter(chr(39) * 2)} SELECT count(*) AS total_broadcasted,
       count(*) FILTER (sent) AS total_emails_sent, 0::BIGINT AS total_errors FROM verdict""",
     "alert_text": f"""{WITH_ZID}, {ROUNDED} SELECT anomaly_id, 'Anomaly Alert: ' || metric AS subject,

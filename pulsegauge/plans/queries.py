@@ -321,9 +321,10 @@ def result_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def empty_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as announced batches, orders as their events."""
+    """Customers as announced batches, their orders in processing as the events."""
     batches = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("batch_id"))
-    return validate.empty_batches(batches, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("batch_id")))
+    events = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "P")
+    return validate.empty_batches(batches, events.select(F.col("o_custkey").alias("batch_id")))
 
 
 # --- summaries ---------------------------------------------------------------------------------
@@ -372,16 +373,16 @@ def fifo_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _limited(spark: SparkSession, sf_dir: str, key: str | None = None) -> DataFrame:
-    found = _records(spark, sf_dir).select("anomaly_id", "metric", "value", F.col("event_us").alias("at"))
-    return alerts.rate_limit(found, ALERT_US, key=key)
+    found = _records(spark, sf_dir).select("anomaly_id", "metric", "value", "event_us")
+    return alerts.rate_limit(found, ALERT_US, "event_us", key)
 
 
 def alert_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _limited(spark, sf_dir).select("metric", "at", "value", "sent")
+    return _limited(spark, sf_dir).select("metric", "event_us", "value", "sent")
 
 
 def alert_rate_limit_by_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _limited(spark, sf_dir, "metric").select("metric", "at", "value", "sent")
+    return _limited(spark, sf_dir, "metric").select("metric", "event_us", "value", "sent")
 
 
 def alert_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
