@@ -19,31 +19,33 @@ def checked_messages(messages: DataFrame, text: str = "raw") -> DataFrame:
     The message is parsed once as VARIANT, because a timestamp sent as a number and one sent as a
     string of digits follow different rules, and reading the field as a string hides which it was.
     """
+    names = ("metric", "timestamp", "value", "meta")
     doc = messages.withColumn("doc", F.try_parse_json(F.col(text)))
-    get = lambda name, kind: F.try_variant_get("doc", f"$.{name}", kind)
-    kind = lambda name: F.schema_of_variant(get(name, "variant"))
-    typed = doc.select(
-        "*",
-        F.schema_of_variant("doc").alias("doc_kind"),
-        *[kind(n).alias(f"{n}_kind") for n in ("metric", "timestamp", "value", "meta")],
-        *[get(n, "string").alias(f"{n}_text") for n in ("metric", "timestamp", "value", "meta")],
+    field = lambda name: F.to_json(F.try_variant_get("doc", f"$.{name}", "variant"))
+    typed = doc.select("*", *[field(n).alias(f"{n}_json") for n in names]).withColumns(
+        {
+            "metric_text": F.try_variant_get("doc", "$.metric", "string"),
+            **{f"{n}_text": F.trim(F.col(f"{n}_json"), F.lit('"')) for n in ("timestamp", "value")},
+        }
     )
-    is_number = F.col("timestamp_kind").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    boolean = F.col("value_kind") == "BOOLEAN"
-    value = F.when(boolean, F.when(F.col("value_text") == "true", 1.0).otherwise(0.0)).otherwise(
-        checks.number(F.col("value_text"))
+    begins = lambda name, chars: F.coalesce(F.substring(f"{name}_json", 1, 1).isin(*chars), F.lit(False))
+    # a field is absent or JSON null; other JSON values tell their type by the first character
+    void = lambda name: F.coalesce(F.col(f"{name}_json") == "null", F.lit(True))
+    nested = lambda name: begins(name, "{[")
+    is_number = begins("timestamp", "-0123456789")
+    value = (
+        F.when(F.col("value_json") == "true", F.lit(1.0))
+        .when(F.col("value_json") == "false", F.lit(0.0))
+        .otherwise(checks.number(F.col("value_text")))
     )
-    ready = add_event_micros(typed, "timestamp_text", F.coalesce(is_number, F.lit(False)))
-    ready = ready.withColumn("parsed_value", value)
-    void = lambda name: F.coalesce(F.col(f"{name}_kind") == "VOID", F.lit(True))
-    nested = lambda name: F.coalesce(F.col(f"{name}_kind").rlike("^(OBJECT|ARRAY)"), F.lit(False))
+    ready = add_event_micros(typed, "timestamp_text", is_number).withColumn("parsed_value", value)
     missing = lambda name: F.when(~void(name), F.col(f"{name}_text"))
     reason = (
         F.when(F.col("doc").isNull(), F.lit(checks.INVALID_JSON))
-        .when(~F.col("doc_kind").startswith("OBJECT"), F.lit(checks.NOT_AN_OBJECT))
+        .when(~F.ltrim(F.col(text)).startswith("{"), F.lit(checks.NOT_AN_OBJECT))
         .when(void("metric") | void("timestamp") | void("value"), F.lit(checks.MISSING_FIELD))
         .when(nested("metric"), F.lit(checks.METRIC_TYPE))
-        .when(nested("timestamp") | (F.col("timestamp_kind") == "BOOLEAN"), F.lit(checks.TIMESTAMP_TYPE))
+        .when(nested("timestamp") | begins("timestamp", "tf"), F.lit(checks.TIMESTAMP_TYPE))
         .when(nested("value"), F.lit(checks.VALUE_TYPE))
         .otherwise(
             F.coalesce(
@@ -51,14 +53,14 @@ def checked_messages(messages: DataFrame, text: str = "raw") -> DataFrame:
                     missing("metric"), missing("timestamp"), is_number, missing("value"),
                     F.col("event_us"), F.col("parsed_value"),
                 ),
-                F.when(~void("meta") & ~F.col("meta_kind").startswith("OBJECT"), F.lit(checks.META_NOT_OBJECT)),
+                F.when(~void("meta") & ~begins("meta", "{"), F.lit(checks.META_NOT_OBJECT)),
             )
         )
     )
     return _finish(
         ready.withColumn("reason", reason),
         metric=F.col("metric_text"),
-        meta=F.when(~void("meta"), F.col("meta_text")),
+        meta=F.when(~void("meta"), F.col("meta_json")),
         raw=F.col(text),
     )
 

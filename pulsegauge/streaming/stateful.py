@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -33,6 +34,19 @@ def use_rocksdb(spark: SparkSession) -> None:
         spark.conf.set(key, STATE_STORE)
 
 
+def _pack(rows: pd.DataFrame) -> bytes:
+    """Rows as one Arrow stream, so that state holds a value per batch and not per event."""
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(packed: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(packed).read_pandas()
+
+
 class _Window(StatefulProcessor):
     """Shared parts: chunk storage and scoring of index ranges."""
 
@@ -125,12 +139,11 @@ class EventTimeWindow(_Window):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.handle = handle
-        self.pending = handle.getListState("pending", "event_us bigint, value double, event_id string, meta_json string")
+        self.pending = handle.getListState("pending", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            waiting = [tuple(r) for r in batch[list(PAYLOAD)].itertuples(index=False, name=None)]
-            self.pending.appendList(waiting)
+            self.pending.appendValue((_pack(batch[list(PAYLOAD)]),))
         yield from self.settle(key, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -138,15 +151,16 @@ class EventTimeWindow(_Window):
 
     def settle(self, key, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = pd.DataFrame(list(self.pending.get()), columns=list(PAYLOAD))
-        if not len(waiting):
+        packed = [_unpack(bytes(row[0])) for row in self.pending.get()]
+        if not packed:
             return
+        waiting = pd.concat(packed, ignore_index=True)
         due = waiting["event_us"] <= passed
         if due.any():
             yield self.score(key[0], waiting[due])
             ahead = waiting[~due]
             if len(ahead):
-                self.pending.put([tuple(r) for r in ahead.itertuples(index=False, name=None)])
+                self.pending.put([(_pack(ahead),)])
             else:
                 self.pending.clear()
         else:
