@@ -157,8 +157,7 @@ def read_json(spark: SparkSession, paths: list[str], pattern: str = "*.[jJ][sS][
     docs = (
         spark.read.option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
-        .option("wholetext", "true")
-        .text(paths)
+        .text(paths, wholetext=True)
         .select(
             F.col("_metadata.file_path").alias("source"),
             F.is_valid_utf8("value").alias("utf8"),
