@@ -175,17 +175,13 @@ def instant_stats(events: DataFrame, window_us: int, slices: int | None = None,
     head = group.orderBy("at", "leaving").rowsBetween(*rows)
     # a leaving instant at exactly t is still inside the window of t, so it sorts before it here
     tail = group.orderBy(F.desc("at"), F.desc("leaving")).rowsBetween(*rows)
-    staged = doubled
+    running, steps = {}, {}
     for part, w, counted in (("head", head, ~F.col("leaving")), ("tail", tail, F.col("leaving"))):
         n = F.when(counted, F.col("n")).otherwise(F.lit(0))
-        staged = staged.withColumns(
-            {
-                f"{part}_n": F.sum(n).over(w),
-                f"{part}_sum": F.sum(n * F.col("avg")).over(w),
-                f"{part}_low": F.min(F.when(counted, F.col("low"))).over(w),
-                f"{part}_high": F.max(F.when(counted, F.col("high"))).over(w),
-            }
-        )
+        running[f"{part}_n"] = F.sum(n).over(w)
+        running[f"{part}_sum"] = F.sum(n * F.col("avg")).over(w)
+        running[f"{part}_low"] = F.min(F.when(counted, F.col("low"))).over(w)
+        running[f"{part}_high"] = F.max(F.when(counted, F.col("high"))).over(w)
         # squared deviations grow by a non-negative step per instant, so nothing cancels
         before_n = F.col(f"{part}_n") - n
         before_avg = (F.col(f"{part}_sum") - n * F.col("avg")) / before_n
@@ -194,7 +190,8 @@ def instant_stats(events: DataFrame, window_us: int, slices: int | None = None,
             n > 0,
             F.col("ssd") + F.when(before_n > 0, gap * gap * n * before_n / F.col(f"{part}_n")).otherwise(F.lit(0.0)),
         ).otherwise(F.lit(0.0))
-        staged = staged.withColumn(f"{part}_ssd", F.sum(step).over(w))
+        steps[f"{part}_ssd"] = F.sum(step).over(w)
+    staged = doubled.withColumns(running).withColumns(steps)
 
     own_rows = staged.filter(~F.col("leaving"))
     parts = [

@@ -54,7 +54,7 @@ def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_stats_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = windows.window_stats(event_series(spark, sf_dir), WINDOW_US, slices=64)
+    scored = windows.window_stats(event_series(spark, sf_dir), WINDOW_US, slices=8)
     return _stats_columns(scored, "metric", "event_us", "value")
 
 
