@@ -112,7 +112,9 @@ def choose_slices(events: DataFrame, window_us: int, limit: int = MAX_INSTANTS_P
         events.groupBy("metric", int_div("event_us", window_us).alias("w")).count().agg(F.max("count")).first()[0]
     )
     wanted = min(MAX_SLICES, -(-(fullest or 0) // limit))
-    return next((s for s in range(max(1, wanted), MAX_SLICES + 1) if window_us % s == 0), 1)
+    # the smallest count that is enough and divides the window, else the largest that divides it
+    divisors = [s for s in range(1, MAX_SLICES + 1) if window_us % s == 0]
+    return next((s for s in divisors if s >= wanted), divisors[-1])
 
 
 def _merge(parts: list[tuple[Column, Column, Column]]) -> tuple[Column, Column, Column]:

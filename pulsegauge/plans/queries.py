@@ -13,9 +13,9 @@ from pulsegauge.operators import alerts, detectors, reports, validate, windows
 from pulsegauge.operators.detectors import PercentileDetector, ZScoreDetector
 from pulsegauge.operators.percentiles import percentile_bounds
 from pulsegauge.plans.detection import newest_anomalies
+from pulsegauge.schema import ANOMALY_SCHEMA, events_from_table
 from pulsegauge.sources import files, kafka, sinks
 from pulsegauge.sources.tables import event_series, order_series, shipment_series, table
-from pulsegauge.schema import events_from_table
 from pulsegauge.streaming import jobs, stateful
 
 HOUR_US = 3600 * MICROS
@@ -527,13 +527,15 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream, jobs.ingest_handler(f"{root}/events", f"{root}/bad"), f"{root}/checkpoint", available_now=True
     ).awaitTermination()
     good = spark.read.parquet(f"{root}/events").groupBy("metric").agg(F.count(F.lit(1)).alias("rows"))
-    bad = spark.read.parquet(f"{root}/bad").groupBy(F.col("reason").alias("metric")).agg(F.count(F.lit(1)).alias("rows"))
+    rejected = sinks.read_store(spark, f"{root}/bad", jobs.QUARANTINE_SCHEMA)
+    bad = rejected.groupBy(F.col("reason").alias("metric")).agg(F.count(F.lit(1)).alias("rows"))
     return good.unionByName(bad)
 
 
 def stream_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection by micro-batch against the stored window, without keyed state."""
     root = sinks.scratch_dir(spark, "micro")
+    sinks.ensure_store(spark, f"{root}/results", ANOMALY_SCHEMA)
     handler = jobs.micro_batch_handler(f"{root}/events", f"{root}/results", ZSCORE, WINDOW_US)
     jobs.start(_event_stream(spark, sf_dir), handler, f"{root}/checkpoint", available_now=True).awaitTermination()
     return _flagged_z(sinks.read_results(spark, f"{root}/results"))
@@ -547,9 +549,10 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     arriving = spark.readStream.schema("anomaly_id string, at bigint").parquet(f"{root}/in")
     limited = stateful.rate_limit_stream(arriving, ALERT_US)
     channels = {n: jobs.channel_writer(f"{root}/{n}", n) for n in ("anomalies", "email")}
+    sinks.ensure_store(spark, f"{root}/log", jobs.ALERT_LOG_SCHEMA)
     handler = jobs.fan_out_handler(channels, f"{root}/log")
     jobs.start(limited, handler, f"{root}/checkpoint", available_now=True).awaitTermination()
-    return reports.alert_tally(spark.read.parquet(f"{root}/log"))
+    return reports.alert_tally(sinks.read_store(spark, f"{root}/log", jobs.ALERT_LOG_SCHEMA))
 
 
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,13 @@ ANOMALY_COLUMNS = (
     "event_meta",
 )
 
+ANOMALY_SCHEMA = (
+    "anomaly_id STRING, event_id STRING, metric STRING, value DOUBLE, mean DOUBLE, stddev DOUBLE, variance DOUBLE, "
+    "z_score DOUBLE, threshold DOUBLE, lower_bound DOUBLE, upper_bound DOUBLE, lower_percentile DOUBLE, "
+    "upper_percentile DOUBLE, event_us BIGINT, timestamp TIMESTAMP, is_anomaly BOOLEAN, detection_method STRING, "
+    "window_count BIGINT, detected_at TIMESTAMP, event_meta STRING"
+)
+
 
 def events_from_table(
     df: DataFrame,

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegauge.schema import ANOMALY_SCHEMA
+
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the one the cluster shares (``spark.checkpoint.dir``).
@@ -75,14 +77,19 @@ def _newest(results: DataFrame, order: str) -> DataFrame:
     return results.groupBy("anomaly_id").agg(kept.alias("kept")).select("anomaly_id", "kept.*").select(*results.columns)
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    # the schema is given, as a store that has seen only empty batches holds no file to read it from
+    return read_store(spark, path, ANOMALY_SCHEMA)
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """All results, the newest version of each id."""
-    return _newest(spark.read.parquet(path), "batch_id").drop("batch_id")
+    return _newest(_stored(spark, path), "batch_id").drop("batch_id")
 
 
 def result_by_id(spark: SparkSession, path: str, anomaly_id: str) -> DataFrame:
     """One result or none; the id predicate reaches the parquet scan."""
-    found = spark.read.parquet(path).filter(F.col("anomaly_id") == anomaly_id)
+    found = _stored(spark, path).filter(F.col("anomaly_id") == anomaly_id)
     return _newest(found, "batch_id").drop("batch_id")
 
 
@@ -101,6 +108,15 @@ def rewrite_retained(spark: SparkSession, path: str, new_path: str, keep_from_us
     kept.drop("batch_id").write.mode("errorifexists").partitionBy("event_date").parquet(new_path)
 
 
+def ensure_store(spark: SparkSession, path: str, schema: str) -> None:
+    """Make sure a batch-partitioned store exists, so that it can be read before its first batch."""
+    spark.createDataFrame([], f"{schema}, batch_id BIGINT").write.mode("ignore").partitionBy("batch_id").parquet(path)
+
+
+def read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, batch_id BIGINT").parquet(path)
+
+
 def clear(spark: SparkSession, path: str, new_path: str) -> None:
     """An empty table of the same layout at a new place."""
     spark.read.parquet(path).limit(0).drop("batch_id").write.mode("errorifexists").parquet(new_path)

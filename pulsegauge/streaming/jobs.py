@@ -17,6 +17,9 @@ from pulsegauge.sources import sinks
 from pulsegauge.sources.sinks import append_events, upsert_results
 from pulsegauge.streaming.stateful import score_stream, use_rocksdb
 
+QUARANTINE_SCHEMA = "source STRING, row_num BIGINT, raw STRING, reason STRING"
+ALERT_LOG_SCHEMA = "anomaly_id STRING, published BOOLEAN, emailed BOOLEAN, errors INT, success BOOLEAN"
+
 
 def message_files(spark: SparkSession, path: str, config: GaugeConfig, pattern: str = "*.jsonl") -> DataFrame:
     """Stream of JSON-lines messages from files as they land in a folder."""

@@ -135,6 +135,15 @@ def test_result_store(spark, records, tmp_path):
     assert sinks.only_anomalies(stored).count() == 1
 
 
+def test_result_store_without_results(spark, records, tmp_path):
+    path = str(tmp_path / "results")
+    sinks.upsert_results(records.filter("false"), path, 0)
+    assert sinks.read_results(spark, path).count() == 0
+    assert sinks.result_by_id(spark, path, "x").count() == 0
+    sinks.upsert_results(records, path, 1)
+    assert sinks.read_results(spark, path).count() == 1
+
+
 def test_event_store(spark, make_events, tmp_path):
     path, day = str(tmp_path / "raw"), 86400 * MICROS
     events = make_events([("m", BASE + i * day, float(i)) for i in range(10)])
