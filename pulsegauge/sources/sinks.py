@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,14 +16,25 @@ from pulsegauge.schema import ANOMALY_SCHEMA
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the one the cluster shares (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in local tests, a temporary folder is used.
+    Only a session of a single machine (``local[...]``, as in tests) may name none and gets a
+    temporary folder; on several machines that would be a different folder on each.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    master = spark.conf.get("spark.master", "local")
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
     return os.path.join(tempfile.mkdtemp(prefix="pulsegauge-"), name)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to a new shared folder and read back, so that lost executors cost no recomputation."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _dated(df: DataFrame) -> DataFrame:
     return df.withColumn("event_date", F.to_date(F.timestamp_micros("event_us")))
 
