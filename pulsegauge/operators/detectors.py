@@ -19,6 +19,7 @@ from pulsegauge.config import (
     check_zscore,
 )
 from pulsegauge.functions.identity import anomaly_id
+from pulsegauge.operators.joins import join_summary
 from pulsegauge.operators.percentiles import MAX_ROWS_PER_BUCKET, percentile_bounds
 from pulsegauge.operators.windows import STATS, instant_stats, window_stats
 from pulsegauge.schema import ANOMALY_COLUMNS
@@ -249,7 +250,7 @@ def score_against_snapshot(snapshot: DataFrame, candidates: DataFrame, detector:
 
     A candidate of an unknown metric has no baseline and is skipped for lack of data.
     """
-    known = candidates.join(snapshot.select("metric", *STATS), "metric", "left").fillna(
+    known = join_summary(candidates, snapshot.select("metric", *STATS), ["metric"], "left", ["event_us", "value"]).fillna(
         0, ["window_count", "mean", "variance", "stddev"]
     )
     return detector.verdict(known)

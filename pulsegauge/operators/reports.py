@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegauge.operators.joins import join_summary
+
 ERROR_LIST_LIMIT = 10
 RECENT_COLUMNS = ("event_id", "metric", "value", "timestamp", "z_score", "detected_at")
 
@@ -95,8 +97,7 @@ def upload_summary(checked: DataFrame, files: DataFrame) -> DataFrame:
     )
     few = counts.filter(F.col("error_count").between(1, ERROR_LIST_LIMIT)).select("source")
     listed = (
-        checked.filter(F.col("reason").isNotNull())
-        .join(few, "source", "left_semi")
+        join_summary(checked.filter(F.col("reason").isNotNull()), few, ["source"], salt=["row_num"])
         .groupBy("source")
         .agg(F.array_sort(F.collect_list(F.struct(F.col("row_num").alias("row"), F.col("reason").alias("error")))).alias("errors"))
     )
@@ -200,9 +201,10 @@ def recent_anomalies(anomalies: DataFrame, limit: int = 100) -> DataFrame:
 def live_feed(previous: DataFrame | None, arrived: DataFrame, keep: int = 100) -> DataFrame:
     """The feed after new records came in: the newest ``keep``, newest first."""
     both = arrived if previous is None else previous.unionByName(arrived)
-    # a record that arrives again replaces itself
+    rest = [c for c in both.columns if c != "anomaly_id"]
+    # a record that arrives again replaces itself; versions of one time are told apart by their contents
     latest = both.groupBy("anomaly_id").agg(
-        F.max_by(F.struct(*[c for c in both.columns if c != "anomaly_id"]), "detected_at").alias("kept")
+        F.max_by(F.struct(*rest), F.struct(F.col("detected_at"), F.xxhash64(*rest))).alias("kept")
     )
     return (
         latest.select("anomaly_id", "kept.*")
@@ -227,7 +229,7 @@ def rolling_mean(df: DataFrame, key: str, order: list[str], column: str, rows: i
     lead = order[0]
     spans = df.groupBy(key).agg(F.min(lead).alias("lo"), F.max(lead).alias("hi"), F.count(F.lit(1)).alias("n"))
     cells = F.greatest(F.lit(1), F.ceil(F.col("n") / (4 * rows)))
-    cut = df.join(spans, key).withColumn(
+    cut = join_summary(df, spans, [key], salt=order).withColumn(
         "cell", F.floor((F.col(lead) - F.col("lo")) * cells / (F.col("hi") - F.col("lo") + 1)).cast("bigint")
     )
     per_cell = cut.groupBy(key, "cell").agg(F.count(F.lit(1)).alias("held"))

@@ -3,10 +3,9 @@
 The window of an event at time ``t`` is ``[t - W, t]`` with both ends included; the event itself
 and all events of the same instant belong to it. Three ways give the same numbers:
 
-``sliced``  the default. Events are first combined per instant. Time is cut into slices so that
-            ``W`` is a whole number of slices, and a window is then put together from three
-            parts: the tail of the slice where it starts, the whole slices in between, and the
-            head of the slice where it ends. Work is O(n log n) however many events a window
+``sliced``  the default. Events are first combined per instant. Time is cut into slices of equal
+            width, and a window is then put together from three parts: the head of the slice where
+            it ends, the instants that leave it during that slice, and all others in between. Work is O(n log n) however many events a window
             holds, and no group is larger than the instants of two slices, so a metric with a
             third of all rows is spread over as many tasks as it has slices.
 ``halo``    time buckets of at least ``W``; each event is also shown to the next bucket when it
@@ -19,8 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegauge.operators.joins import join_summary
+
 MAX_INSTANTS_PER_SLICE = 500_000
-MAX_SLICES = 1024
 STRATEGIES = ("sliced", "halo", "frame")
 STATS = ("window_count", "mean", "variance", "stddev")
 
@@ -111,10 +111,7 @@ def choose_slices(events: DataFrame, window_us: int, limit: int = MAX_INSTANTS_P
     fullest = (
         events.groupBy("metric", int_div("event_us", window_us).alias("w")).count().agg(F.max("count")).first()[0]
     )
-    wanted = min(MAX_SLICES, -(-(fullest or 0) // limit))
-    # the smallest count that is enough and divides the window, else the largest that divides it
-    divisors = [s for s in range(1, MAX_SLICES + 1) if window_us % s == 0]
-    return next((s for s in divisors if s >= wanted), divisors[-1])
+    return min(window_us, max(1, -(-(fullest or 0) // limit)))
 
 
 def _merge(parts: list[tuple[Column, Column, Column]]) -> tuple[Column, Column, Column]:
@@ -128,30 +125,43 @@ def _merge(parts: list[tuple[Column, Column, Column]]) -> tuple[Column, Column,
     return n, avg, ssd
 
 
-def _middle(events: DataFrame, width: int, slices: int, weight: Column | None) -> DataFrame:
-    """Moments of the ``slices - 1`` whole slices before each slice.
+def _middle(events: DataFrame, window_us: int, width: int, weight: Column | None) -> DataFrame:
+    """Moments of the instants before each slice that are in all of its windows.
 
-    Works on slice totals only. Slices are grouped in runs of ``slices`` with a halo of one run,
-    so a group holds at most two runs and the list of a frame at most ``slices - 1`` entries.
+    With ``W = slices * width + rest``, these are the ``slices - 1`` whole slices before and, of the one
+    before them, the instants that leave a window only after the slice: those in its last ``rest`` part.
+    Works on totals of these two parts of each slice. Slices are grouped in runs of ``slices`` with a halo
+    of one run, so a group holds at most two runs and the list of a frame at most ``2 * slices`` entries.
     """
+    slices = window_us // width
     v = F.col("value") if weight is None else F.when(weight, F.col("value"))
-    totals = events.groupBy("metric", int_div("event_us", width).alias("slice")).agg(*_moments(v))
+    late = (int_div(f"(event_us + {window_us}L)", width) > int_div("event_us", width) + slices).alias("late")
+    totals = events.groupBy("metric", int_div("event_us", width).alias("slice"), late).agg(*_moments(v))
     run = F.expr(f"(slice - pmod(slice, {slices}L)) div {slices}L")
     spread = totals.select("*", F.inline(F.array(F.struct(run.alias("run"), F.lit(True).alias("core")), F.struct((run + 1).alias("run"), F.lit(False).alias("core")))))
-    w = Window.partitionBy("metric", "run").orderBy("slice").rangeBetween(1 - slices, -1)
+    by_slice = Window.partitionBy("metric", "run").orderBy("slice")
+    edge, no_value = by_slice.rangeBetween(-slices, -slices), F.lit(None).cast("double")
+    nothing = F.array().cast("array<struct<n: bigint, avg: double, ssd: double>>")
+    # a window of less than two widths has no whole slice inside
+    over_whole = lambda c, none: c.over(by_slice.rangeBetween(1 - slices, -1)) if slices > 1 else none
     zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("avg"), F.lit(0.0).alias("ssd"))
 
     def add(a: Column, b: Column) -> Column:
         n, avg, ssd = _merge([(a["n"], a["avg"], a["ssd"]), (b["n"], b["avg"], b["ssd"])])
         return F.struct(n.alias("n"), avg.alias("avg"), ssd.alias("ssd"))
 
+    late_only = lambda c: F.when(F.col("late"), c)
     listed = spread.select(
         "metric", "slice", "core",
-        F.collect_list(F.struct("n", "avg", "ssd")).over(w).alias("parts"),
-        F.min("low").over(w).alias("mid_low"),
-        F.max("high").over(w).alias("mid_high"),
+        F.concat(
+            over_whole(F.collect_list(F.struct("n", "avg", "ssd")), nothing),
+            F.collect_list(late_only(F.struct("n", "avg", "ssd"))).over(edge),
+        ).alias("parts"),
+        F.least(over_whole(F.min("low"), no_value), F.min(late_only(F.col("low"))).over(edge)).alias("mid_low"),
+        F.greatest(over_whole(F.max("high"), no_value), F.max(late_only(F.col("high"))).over(edge)).alias("mid_high"),
     ).filter("core")
-    return listed.select(
+    # both parts of a slice see the same frames; one row per slice is left
+    return listed.dropDuplicates(["metric", "slice"]).select(
         "metric", "slice", F.aggregate("parts", zero, add).alias("mid"), "mid_low", "mid_high"
     )
 
@@ -159,18 +169,16 @@ def _middle(events: DataFrame, width: int, slices: int, weight: Column | None) -
 def instant_stats(events: DataFrame, window_us: int, slices: int | None = None, weight: Column | None = None) -> DataFrame:
     """Window statistics for every distinct (metric, event_us), by the ``sliced`` way."""
     slices = slices or choose_slices(events, window_us)
-    if window_us % slices:
-        raise ValueError(f"the window of {window_us} us cannot be cut into {slices} equal slices")
-    width = window_us // slices
+    width = -(-window_us // slices)
     own = int_div("event_us", width)
     # each instant appears where it is, and once more one window later, where it drops out
     copies = F.array(
         F.struct(own.alias("slice"), F.col("event_us").alias("at"), F.lit(False).alias("leaving")),
-        F.struct((own + slices).alias("slice"), (F.col("event_us") + window_us).alias("at"), F.lit(True).alias("leaving")),
+        F.struct(int_div(f"(event_us + {window_us}L)", width).alias("slice"), (F.col("event_us") + window_us).alias("at"), F.lit(True).alias("leaving")),
     )
     doubled = instants(events, weight).select("metric", "n", "avg", "ssd", "low", "high", F.inline(copies))
     if slices > 1:
-        doubled = doubled.join(_middle(events, width, slices, weight), ["metric", "slice"], "left")
+        doubled = doubled.join(_middle(events, window_us, width, weight), ["metric", "slice"], "left")
 
     group = Window.partitionBy("metric", "slice")
     rows = (Window.unboundedPreceding, Window.currentRow)
@@ -261,11 +269,12 @@ def retain(events: DataFrame, as_of_us: int, window_us: int, metrics: list[str]
     return events.filter(fresh if metrics is None else fresh | ~F.col("metric").isin(metrics))
 
 
-def latest_state(events: DataFrame, window_us: int, slices: int | None = None) -> DataFrame:
+def latest_state(events: DataFrame, window_us: int) -> DataFrame:
     """The window of each metric as it stands at the metric's newest event."""
     newest = events.groupBy("metric").agg(F.max("event_us").alias("event_us"))
     # one row per metric: only that metric's last window has to be read, not every window
-    recent = events.join(newest.withColumnRenamed("event_us", "newest_us"), "metric").filter(
+    newest = newest.withColumnRenamed("event_us", "newest_us")
+    recent = join_summary(events, newest, ["metric"], salt=["event_us", "value"]).filter(
         F.col("event_us") >= F.col("newest_us") - window_us
     )
     n = F.col("n")

@@ -131,12 +131,43 @@ def test_no_files(spark):
         files.read_files(spark, [])
 
 
-def test_sample_shapes_give_no_anomaly(spark, tmp_path):
-    """Five or six points per metric stay below what the default threshold can reach."""
+def test_few_points_give_no_anomaly(spark, tmp_path):
+    """Seven points per metric stay below what the default threshold can reach."""
     from pulsegauge.operators.detectors import ZScoreDetector
 
-    lines = [f"{m},{v},2025-01-21T12:0{i}:00Z" for m in ("t", "p", "v") for i, v in enumerate((20.1, 21.3, 19.8, 200.5, 20.2))]
+    lines = [f"{m},{v},2031-06-03T04:05:{10 + i}Z" for m in ("tide", "salt") for i, v in enumerate((3, 4, 3, 5, 4, 900, 3))]
     _write(tmp_path, s__csv="metric,value,timestamp\n" + "\n".join(lines))
     events = validate.valid(files.read_files(spark, [str(tmp_path / "s.csv")]).checked())
-    assert events.count() == 15
+    assert events.count() == 14
     assert ZScoreDetector().anomalies(events, 300 * 10**6).count() == 0
+
+
+def test_every_path_has_an_outcome(spark, tmp_path):
+    folder = tmp_path / "v1.2"
+    folder.mkdir()
+    _write(
+        folder, comments__txt="# only\n\n", blank__csv="\n\n", empty__txt="", empty__csv="", ok__csv="metric,value,timestamp\ncpu,1,2024-01-01\n", readme__md="x"
+    )
+    (folder / "noext").write_text("cpu,1,2024-01-01\n")
+    scan = files.read_files(spark, [str(folder), str(folder / "noext"), str(tmp_path / "absent.csv")])
+    outcome = {}
+    for r in scan.files.collect():
+        outcome.setdefault(_name(r.source), set()).add(r.error)
+    assert outcome == {
+        "comments.txt": {None}, "empty.txt": {None}, "blank.csv": {files.BAD_HEADER}, "empty.csv": {files.BAD_HEADER}, "ok.csv": {None},
+        "readme.md": {files.BAD_EXTENSION}, "noext": {files.BAD_EXTENSION}, "absent.csv": {files.NO_FILE},
+    }
+    assert scan.checked().count() == 1
+
+
+def test_csv_quotes(spark, tmp_path):
+    _write(
+        tmp_path,
+        a__csv='metric,meta,value,timestamp\n"a ""b"", c","{""k"":\n1}",1,2024-01-01\n\nplain,,2,2024-01-02\nsize 5",,3,2024-01-03\n',
+        b__csv='value,metric,timestamp,metric\n1,x,2024-01-01,"y,z"\n',
+    )
+    rows = _by_file(files.read_csv(spark, [str(tmp_path)]).checked())
+    assert [(r.row_num, r.metric, r.value, r.meta_json, r.reason) for r in rows["a.csv"]] == [
+        (1, 'a "b", c', 1.0, '{"k":1}', None), (2, "plain", 2.0, "{}", None), (3, 'size 5"', 3.0, "{}", None),
+    ]
+    assert [(r.metric, r.value) for r in rows["b.csv"]] == [("y,z", 1.0)]

@@ -60,9 +60,15 @@ def test_automatic_slices(make_events):
     _check(rows, windows.window_stats(events, 60_000), 60_000)
 
 
-def test_slices_must_divide_the_window(make_events):
-    with pytest.raises(ValueError):
-        windows.window_stats(make_events([("a", BASE, 1.0)]), 100, slices=7)
+@pytest.mark.parametrize("slices", [2, 3, 7, 50])
+def test_slices_of_a_prime_window(make_events, slices):
+    rows = _random_rows(seed=slices)
+    _check(rows, windows.window_stats(make_events(rows), 60_013, slices=slices), 60_013)
+
+
+def test_a_prime_window_is_split(make_events):
+    events = make_events(_random_rows(seed=6))
+    assert windows.choose_slices(events, 60_013, limit=1) > 10
 
 
 def test_row_order_does_not_matter(make_events):
@@ -169,3 +175,19 @@ def test_slices_split_a_hot_metric(make_events):
     for line in plan.splitlines():
         if "Window [" in line:
             assert "slice" in line or "run" in line
+
+
+def test_summary_joins_do_not_shuffle_the_rows(spark):
+    """A small summary is broadcast, so the rows stay where they are; a large one is split by a salt."""
+    from pyspark.sql import functions as F
+
+    from pulsegauge.operators.joins import join_summary
+
+    rows = spark.range(1000).selectExpr("id", "CASE WHEN id < 900 THEN 'hot' ELSE CAST(id AS STRING) END AS k")
+    summary = rows.groupBy("k").agg(F.count("*").alias("n"))
+    small = join_summary(rows, summary, ["k"], salt=["id"])
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    split = join_summary(rows, summary, ["k"], salt=["id"], limit=5)
+    assert "_salt" in split._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, split.collect()))
