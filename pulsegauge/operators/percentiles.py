@@ -152,8 +152,10 @@ def percentile_bounds(
     """Bounds per (metric, event_us) for windows of at least ``min_count`` events.
 
     ``stats`` holds ``metric, event_us, window_count``. With ``flagged_only`` overfull buckets are
-    thinned, and instants that cannot hold an event outside its bounds may be missing.
+    thinned, and instants that cannot hold an event outside its bounds may be missing. NULL and NaN
+    values have no place in an order: they count neither here nor in ``window_count``.
     """
+    events = events.filter(F.col("value").isNotNull() & ~F.isnan("value"))
     per_window = events.groupBy("metric", int_div("event_us", window_us).alias("w")).count()
     fullest = per_window.agg(F.max("count")).first()[0] or 0
     bucket_us = window_us if 5 * fullest > limit else 4 * window_us

@@ -64,7 +64,8 @@ def events_from_table(
 ) -> DataFrame:
     """Read any table with a time, a name and a number as canonical events.
 
-    Only columns a later step asks for survive column pruning, so the hash behind
+    Rows without a metric, a time or a finite value are no events and are left out, as the validators
+    of messages and files do. Only columns a later step asks for survive column pruning, so the hash behind
     ``event_id`` costs nothing in a query that does not use it.
     """
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
@@ -78,4 +79,6 @@ def events_from_table(
         F.lit(source).cast("string").alias("source"),
         F.lit(None).cast("bigint").alias("row_num"),
     )
-    return base.withColumn("event_id", event_id("metric", "event_us", "value")).select(*EVENT_COLUMNS)
+    value = F.col("value")
+    sound = F.col("metric").isNotNull() & F.col("event_us").isNotNull() & value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return base.filter(sound).withColumn("event_id", event_id("metric", "event_us", "value")).select(*EVENT_COLUMNS)
