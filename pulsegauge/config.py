@@ -41,6 +41,13 @@ def check_percentile(lower: float, upper: float, min_count: int) -> None:
         raise ValueError(f"min_count must be at least 10, got {min_count}")
 
 
+def _parsed(field, text: str):
+    """The value of a session key, in the kind of the field's default; a default of None means a whole number."""
+    if isinstance(field.default, bool):
+        return text.strip().lower() == "true"
+    return int(text) if field.default is None else type(field.default)(text)
+
+
 @dataclass(frozen=True)
 class GaugeConfig:
     """One immutable set of run parameters."""
@@ -57,7 +64,8 @@ class GaugeConfig:
     kafka_bootstrap_servers: str = "localhost:9092"
     kafka_topic: str = "events"
     kafka_starting_offsets: str = "earliest"
-    max_offsets_per_trigger: int = 10_000
+    max_offsets_per_trigger: int | None = None
+    fail_on_data_loss: bool = True
     max_files_per_trigger: int = 1_000
     trigger_seconds: float = 1.0
 
@@ -87,7 +95,7 @@ class GaugeConfig:
         for field in fields(cls):
             text = spark.conf.get(CONF_PREFIX + field.name, None)
             if text is not None:
-                found[field.name] = type(field.default)(text)
+                found[field.name] = _parsed(field, text)
         return cls(**{**found, **overrides})
 
     def with_(self, **changes) -> GaugeConfig:

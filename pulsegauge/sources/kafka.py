@@ -10,14 +10,20 @@ from pulsegauge.operators.validate import serialize
 
 
 def source_options(config: GaugeConfig) -> dict[str, str]:
-    """Reader options; the checkpoint takes the place of consumer-group offsets."""
-    return {
+    """Reader options; the checkpoint takes the place of consumer-group offsets.
+
+    Lost offsets stop the query unless ``fail_on_data_loss`` is switched off, and a trigger takes all
+    there is unless ``max_offsets_per_trigger`` limits it.
+    """
+    options = {
         "kafka.bootstrap.servers": config.kafka_bootstrap_servers,
         "subscribe": config.kafka_topic,
         "startingOffsets": config.kafka_starting_offsets,
-        "maxOffsetsPerTrigger": str(config.max_offsets_per_trigger),
-        "failOnDataLoss": "false",
+        "failOnDataLoss": str(config.fail_on_data_loss).lower(),
     }
+    if config.max_offsets_per_trigger is not None:
+        options["maxOffsetsPerTrigger"] = str(config.max_offsets_per_trigger)
+    return options
 
 
 def sink_options(config: GaugeConfig, topic: str | None = None) -> dict[str, str]:
@@ -37,8 +43,10 @@ def read_stream(spark: SparkSession, config: GaugeConfig) -> DataFrame:
 
 
 def read_batch(spark: SparkSession, config: GaugeConfig) -> DataFrame:
+    """The topic from the configured offsets; a batch cannot begin at the latest, so that means the earliest."""
     options = {k: v for k, v in source_options(config).items() if k != "maxOffsetsPerTrigger"}
-    options["startingOffsets"] = "earliest"
+    if options["startingOffsets"] == "latest":
+        options["startingOffsets"] = "earliest"
     return messages(spark.read.format("kafka").options(**options).load())
 
 
