@@ -34,6 +34,7 @@ def alert_subject(metric: str | Column = "metric") -> Column:
     return F.concat(F.lit("Anomaly Alert: "), F.coalesce(_col(metric), F.lit("Unknown")))
 
 
+# The labels of alert subjects and bodies are those readers of the alerts know.
 def alert_body() -> Column:
     """Plain-text message body of an anomaly record; missing numbers show as 0.00."""
     line = lambda label, text: F.concat(F.lit(f"{label}: "), text)
@@ -50,6 +51,7 @@ def alert_body() -> Column:
         F.lit(""),
         line("Detection Method", F.coalesce("detection_method", F.lit("unknown"))),
         line("Timestamp", micros_to_iso("event_us")),
+        line("Detected At", micros_to_iso(F.unix_micros("detected_at"))),
     )
 
 

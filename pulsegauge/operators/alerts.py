@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from pulsegauge.config import DEFAULT_CHANNEL
 from pulsegauge.functions import formatting as fmt
-from pulsegauge.operators.windows import int_div
+from pulsegauge.sources.sinks import stored
 
 CHUNK_INTERVALS = 64
+#: Chunks that one of the level above covers.
+FAN_IN = 64
 
 
 def _next_sendable(times: np.ndarray, interval: int) -> np.ndarray:
@@ -48,6 +50,7 @@ def _transfer(interval: int):
             {
                 "k": pdf["k"].iloc[0],
                 "chunk": pdf["chunk"].iloc[0],
+                "first": times[0],
                 "entry_upto": times[entries][keep],
                 "last_sent": ends[keep],
             }
@@ -56,18 +59,39 @@ def _transfer(interval: int):
     return solve
 
 
+def _compose(interval: int):
+    """Consecutive chunks of a key as one: the step function of entering the first and leaving the last."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, upto, last = None, None, None
+        for _, steps in pdf.sort_values(["chunk", "entry_upto"]).groupby("chunk"):
+            next_upto, next_last = steps["entry_upto"].to_numpy(), steps["last_sent"].to_numpy()
+            if first is None:
+                first, upto, last = steps["first"].iloc[0], next_upto, next_last
+                continue
+            i = np.searchsorted(next_upto, last + interval, side="left")
+            last = np.where(i < len(next_upto), next_last[np.minimum(i, len(next_upto) - 1)], last)
+            if upto[-1] < first + interval:  # a later entry is possible only while all so far can be blocked
+                upto, last = np.append(upto, next_upto), np.append(last, next_last)
+        keep = np.append(last[1:] != last[:-1], True)
+        return pd.DataFrame(
+            {"k": pdf["k"].iloc[0], "chunk": pdf["above"].iloc[0], "first": first, "entry_upto": upto[keep], "last_sent": last[keep]}
+        )
+
+    return solve
+
+
 def _entry_times(interval: int):
-    """Walk a key's chunks in order and carry the last sent time from one to the next."""
+    """Walk the chunks below one of the level above and carry the last sent time from one to the next."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, sent = [], None
+        out, free_from = [], int(pdf["free_from"].iloc[0])
         for chunk, steps in pdf.sort_values(["chunk", "entry_upto"]).groupby("chunk"):
             upto = steps["entry_upto"].to_numpy()
-            free_from = np.iinfo(np.int64).min if sent is None else sent + interval
             out.append((pdf["k"].iloc[0], chunk, free_from))
             # past the last entry means that every alert of the chunk is still blocked
             i = int(np.searchsorted(upto, free_from, side="left"))
-            sent = int(steps["last_sent"].iloc[i]) if i < len(upto) else sent
+            free_from = int(steps["last_sent"].iloc[i]) + interval if i < len(upto) else free_from
         return pd.DataFrame(out, columns=["k", "chunk", "free_from"])
 
     return solve
@@ -94,8 +118,9 @@ def rate_limit(alerts: DataFrame, interval_us: int, at: str = "at", key: str | N
     An alert goes out when at least ``interval_us`` passed since the last one that went out; the
     first always does. Which alert is sent depends on all sends before it, yet no task walks the
     whole history: time is cut into chunks, each chunk is summed up as a step function from the
-    incoming to the outgoing send time, only these few steps are chained per key, and the chunks
-    are then replayed in parallel, each from its known start.
+    incoming to the outgoing send time, and ``FAN_IN`` neighbours at a time are composed into chunks of
+    the level above, up to one per key. On the way down each gives its parts the times they are entered
+    with, and the chunks are then replayed in parallel. A group holds the steps of at most ``FAN_IN`` chunks.
     """
     if interval_us < 0:
         raise ValueError("interval must not be negative")
@@ -103,12 +128,23 @@ def rate_limit(alerts: DataFrame, interval_us: int, at: str = "at", key: str | N
         return alerts.withColumn("sent", F.lit(True))
     keyed = alerts.withColumn("k", F.lit("") if key is None else F.col(key).cast("string"))
     # of alerts at one instant only the first can be sent
-    times = keyed.groupBy("k", F.col(at).alias("at")).agg(F.min(tie).alias("first_tie"))
-    chunked = times.select("k", "at", int_div("at", CHUNK_INTERVALS * interval_us).alias("chunk"))
-    steps = chunked.groupBy("k", "chunk").applyInPandas(
-        _transfer(interval_us), "k string, chunk bigint, entry_upto bigint, last_sent bigint"
-    )
-    entries = steps.groupBy("k").applyInPandas(_entry_times(interval_us), "k string, chunk bigint, free_from bigint")
+    times = stored(keyed.groupBy("k", F.col(at).alias("at")).agg(F.min(tie).alias("first_tie")), "alert-times")
+    span = times.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
+    width, lo = CHUNK_INTERVALS * interval_us, span["lo"] or 0
+    chunked = times.select("k", "at", F.expr(f"(at - {lo}L) div {width}L").alias("chunk"))
+    layout = "k string, chunk bigint, first bigint, entry_upto bigint, last_sent bigint"
+    levels = [stored(chunked.groupBy("k", "chunk").applyInPandas(_transfer(interval_us), layout), "alert-steps")]
+    chunks = ((span["hi"] or 0) - lo) // width + 1
+    above = F.expr(f"chunk div {FAN_IN}").alias("above")
+    while chunks > 1:
+        composed = levels[-1].select("*", above).groupBy("k", "above").applyInPandas(_compose(interval_us), layout)
+        levels.append(stored(composed, "alert-steps"))
+        chunks = -(-chunks // FAN_IN)
+    nothing_sent = F.lit(-(1 << 62)).cast("bigint").alias("free_from")
+    entries = levels.pop().select("k", "chunk", nothing_sent).distinct()
+    while levels:
+        below = levels.pop().select("*", above).join(entries.toDF("k", "above", "free_from"), ["k", "above"])
+        entries = below.groupBy("k", "above").applyInPandas(_entry_times(interval_us), "k string, chunk bigint, free_from bigint")
     sent = (
         chunked.join(entries, ["k", "chunk"])
         .groupBy("k", "chunk")

@@ -41,6 +41,18 @@ def test_blocked_past_the_first_entries(spark):
     assert sent == brute.greedy(times, 50) == [chunk - 20, chunk + 200]
 
 
+def test_fixed_cadence_over_many_levels(spark, monkeypatch):
+    """Alerts at a fixed distance: chains never meet, and every level above composes chunks."""
+    monkeypatch.setattr(alerts, "FAN_IN", 3)
+    monkeypatch.setattr(alerts, "CHUNK_INTERVALS", 4)
+    for step, interval in ((3, 50), (7, 50), (50, 50), (13, 40)):
+        times = [1_000 + step * i for i in range(1500)] + [90_000, 90_020, 90_051]
+        df = spark.createDataFrame([(t, f"a{t:06d}") for t in times], "at bigint, anomaly_id string")
+        assert sorted(r.at for r in alerts.rate_limit(df, interval).filter("sent").collect()) == brute.greedy(times, interval)
+    empty = df.filter("at < 0")
+    assert alerts.rate_limit(empty, 50).count() == 0
+
+
 def test_interval_bounds(spark):
     df = spark.createDataFrame([(0, "a"), (0, "b"), (2_000_000, "c"), (2_100_000, "d")], "at bigint, anomaly_id string")
     assert {r.anomaly_id for r in alerts.rate_limit(df, 2_000_000).filter("sent").collect()} == {"a", "c"}
@@ -61,7 +73,7 @@ def test_alert_texts(records):
     assert text.subject == "Anomaly Alert: cpu"
     lines = text.body.split("\n")
     assert "Value: 200.00" in lines and "Z-Score: 3.01" in lines and "Threshold: 2.50" in lines
-    assert "Detection Method: z-score" in lines and "Timestamp: 2023-11-14T22:13:30" in lines
+    assert "Detection Method: z-score" in lines and "Timestamp: 2023-11-14T22:13:30" in lines and any(x.startswith("Detected At: 2") for x in lines)
     detail = alerts.alert_details(records).first()
     assert detail.detected == "2023-11-14 22:13:30"
     assert detail.deviation_label == "132.27 (3.0σ)"
@@ -163,8 +175,10 @@ def test_event_store(spark, make_events, tmp_path):
 def test_topic_mapping(make_events):
     config = GaugeConfig(kafka_bootstrap_servers="b:1", kafka_topic="t", kafka_starting_offsets="latest", max_offsets_per_trigger=5)
     assert kafka.source_options(config) == {
-        "kafka.bootstrap.servers": "b:1", "subscribe": "t", "startingOffsets": "latest", "maxOffsetsPerTrigger": "5", "failOnDataLoss": "false",
+        "kafka.bootstrap.servers": "b:1", "subscribe": "t", "startingOffsets": "latest", "maxOffsetsPerTrigger": "5", "failOnDataLoss": "true",
     }
+    assert "maxOffsetsPerTrigger" not in kafka.source_options(GaugeConfig())
+    assert kafka.source_options(config.with_(fail_on_data_loss=False))["failOnDataLoss"] == "false"
     assert kafka.sink_options(config, "out") == {"kafka.bootstrap.servers": "b:1", "topic": "out"}
     row = kafka.keyed_messages(make_events([("cpu", BASE, 1.0)])).first()
     assert bytes(row.key) == b"cpu" and json.loads(bytes(row.value)) == {"timestamp": "2023-11-14T22:13:20", "metric": "cpu", "value": 1.0}
