@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegauge.schema import ANOMALY_SCHEMA
@@ -75,34 +75,46 @@ def upsert_results(results: DataFrame, path: str, batch_id: int) -> None:
     """
     latest = _newest(results, "detected_at")
     (
-        latest.withColumn("batch_id", F.lit(batch_id))
+        latest.withColumns({"batch_id": F.lit(batch_id), "id_part": _id_part(F.col("anomaly_id"))})
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
+        .partitionBy("batch_id", "id_part")
         .parquet(path)
     )
 
 
+def _id_part(anomaly_id: Column) -> Column:
+    """The first digit of the hash in an id: ids are spread evenly over sixteen folders of a batch."""
+    return F.substring(anomaly_id, 9, 1)
+
+
 def _newest(results: DataFrame, order: str) -> DataFrame:
     rest = [c for c in results.columns if c != "anomaly_id"]
-    kept = F.max_by(F.struct(*rest), F.col(order))
+    # versions of one age are told apart by their contents, so every read keeps the same one
+    kept = F.max_by(F.struct(*rest), F.struct(F.col(order), F.xxhash64(*rest)))
     return results.groupBy("anomaly_id").agg(kept.alias("kept")).select("anomaly_id", "kept.*").select(*results.columns)
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
     # the schema is given, as a store that has seen only empty batches holds no file to read it from
-    return read_store(spark, path, ANOMALY_SCHEMA)
+    return read_store(spark, path, f"{ANOMALY_SCHEMA}, id_part STRING")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """All results, the newest version of each id."""
-    return _newest(_stored(spark, path), "batch_id").drop("batch_id")
+    return _newest(_stored(spark, path), "batch_id").drop("batch_id", "id_part")
 
 
 def result_by_id(spark: SparkSession, path: str, anomaly_id: str) -> DataFrame:
-    """One result or none; the id predicate reaches the parquet scan."""
-    found = _stored(spark, path).filter(F.col("anomaly_id") == anomaly_id)
-    return _newest(found, "batch_id").drop("batch_id")
+    """One result or none; only the folders of its id's part are read, and the predicate reaches their scan."""
+    part = _id_part(F.lit(anomaly_id))
+    found = _stored(spark, path).filter((F.col("id_part") == part) & (F.col("anomaly_id") == anomaly_id))
+    return _newest(found, "batch_id").drop("batch_id", "id_part")
+
+
+def compact_results(spark: SparkSession, path: str, new_path: str, batch_id: int) -> None:
+    """The newest version of every result as one batch at a new place, so that reads list few folders again."""
+    upsert_results(read_results(spark, path), new_path, batch_id)
 
 
 def only_anomalies(results: DataFrame) -> DataFrame:
