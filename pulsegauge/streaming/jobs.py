@@ -8,10 +8,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pulsegauge.config import GaugeConfig
 from pulsegauge.operators import alerts as alert_ops
 from pulsegauge.operators.detectors import Detector, ZScoreDetector, records
+from pulsegauge.operators.joins import join_summary
+from pulsegauge.operators.reports import live_feed
 from pulsegauge.operators.validate import checked_messages, quarantine, valid
 from pulsegauge.sources import sinks
 from pulsegauge.sources.sinks import append_events, upsert_results
@@ -173,24 +176,54 @@ def micro_batch_handler(
     """Detection without keyed state, for metrics too busy for one task.
 
     The batch is added to the raw table, and its events are then scored by the batch operators
-    against the stored events of the last window. A metric's work is thereby split over time slices
+    against the stored events of the last window; of the raw table only the days and metrics that the
+    batch's windows touch are read, so one event of a far-off time adds no more than its own days. A metric's work is thereby split over time slices
     and not tied to the one task that owns its key. An event is judged with everything that had
     arrived by the end of its batch.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        span = batch.agg(F.min("event_us"), F.max("event_us")).first()
-        if span[0] is None:
-            return
-        append_events(batch, events_path, batch_id)
-        stored = sinks.events_between(batch.sparkSession, events_path, span[0] - window_us, span[1])
-        stored = stored.filter(F.col("batch_id") <= batch_id)
-        fresh = detector.anomalies(stored, window_us).filter(F.col("batch_id") == batch_id)
-        upsert_results(records(fresh, detector, detected_at), results_path, batch_id)
+        batch.persist()
+        try:
+            if batch.isEmpty():
+                return
+            append_events(batch, events_path, batch_id)
+            day = lambda us: F.to_date(F.timestamp_micros(us))
+            days = F.sequence(day(F.col("event_us") - window_us), day(F.col("event_us")))
+            touched = batch.select("metric", F.explode(days).alias("event_date")).distinct()
+            stored = batch.sparkSession.read.parquet(events_path).filter(F.col("batch_id") <= batch_id)
+            stored = join_summary(stored, touched, ["metric", "event_date"], salt=["event_us"])
+            fresh = detector.anomalies(stored, window_us).filter(F.col("batch_id") == batch_id)
+            upsert_results(records(fresh, detector, detected_at), results_path, batch_id)
+        finally:
+            batch.unpersist()
+
+    return handle
+
+
+def feed_handler(path: str, keep: int = 100) -> Callable[[DataFrame, int], None]:
+    """Keep the newest records of a stream: each batch writes the feed as it stands after it.
+
+    A batch starts from the feed of the newest batch before it, so a repeated one gives the same feed.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        previous = read_feed(batch.sparkSession, path, batch.schema, before=batch_id)
+        feed = live_feed(previous, batch, keep).withColumn("batch_id", F.lit(batch_id))
+        feed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
     return handle
 
 
+def read_feed(spark: SparkSession, path: str, schema: StructType, before: int = 1 << 62) -> DataFrame:
+    """The feed of the newest batch, or of the newest one before a given batch; empty when there is none."""
+    sinks.ensure_store(spark, path, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema))
+    stored = spark.read.schema(StructType([*schema, StructField("batch_id", LongType())])).parquet(path)
+    earlier = stored.filter(F.col("batch_id") < before)
+    newest = earlier.agg(F.max("batch_id")).first()[0]
+    return earlier.filter(F.col("batch_id") == (-1 if newest is None else newest)).drop("batch_id")
+
+
 def progress_rows(query: StreamingQuery) -> list[dict]:
     """Per micro-batch: rows, duration, late rows and observed counters, from the query's progress."""
     rows = []

@@ -109,24 +109,25 @@ class _Window(StatefulProcessor):
 
 
 class ArrivalWindow(_Window):
-    """Scores events as they come.
+    """Scores events as they come, those of one micro-batch in the order of ``arrival``.
 
     The window is what arrived and was not yet purged: purging stops at the first event that is
     still young enough, so a late event can outlive its time and is judged against newer ones.
     """
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            old_times, old_numbers, sizes = self.load()
-            times = np.concatenate((old_times, batch["event_us"].to_numpy(np.int64)))
-            numbers = np.concatenate((old_numbers, batch["value"].to_numpy(float)))
-            held = len(old_times)
-            # the head moves to the first event at or after the largest cutoff seen so far
-            cutoff = np.maximum.accumulate(times - self.window_us)
-            head = np.searchsorted(np.maximum.accumulate(times), cutoff, side="left")
-            right = np.arange(held, len(times)) + 1
-            yield self.scores(batch, key[0], numbers, head[held:], right)
-            self.store(times, numbers, sizes, int(head[-1]), len(batch))
+        # rows of a key reach the task in the order of the shuffle, which says nothing about arrival
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["arrival", "event_us", "event_id"], kind="stable")
+        old_times, old_numbers, sizes = self.load()
+        times = np.concatenate((old_times, batch["event_us"].to_numpy(np.int64)))
+        numbers = np.concatenate((old_numbers, batch["value"].to_numpy(float)))
+        held = len(old_times)
+        # the head moves to the first event at or after the largest cutoff seen so far
+        cutoff = np.maximum.accumulate(times - self.window_us)
+        head = np.searchsorted(np.maximum.accumulate(times), cutoff, side="left")
+        right = np.arange(held, len(times)) + 1
+        yield self.scores(batch, key[0], numbers, head[held:], right)
+        self.store(times, numbers, sizes, int(head[-1]), len(batch))
 
 
 class EventTimeWindow(_Window):
@@ -193,11 +194,13 @@ def score_stream(
     """A stream of events to a stream of events with window statistics.
 
     ``mode`` is ``event_time`` (waits for the watermark, agrees with the batch operators) or
-    ``arrival`` (scores at once, in the order of arrival).
+    ``arrival`` (scores at once, in the order of arrival: by micro-batch, inside one by ``row_num``, a
+    Kafka offset or place in a file, and by event time for events that have none).
     """
     if mode not in ("event_time", "arrival"):
         raise ValueError(f"mode must be 'event_time' or 'arrival', got {mode!r}")
-    narrow = events.select("metric", "event_us", "event_ts", "value", "event_id", "meta_json")
+    arrival = F.coalesce("row_num", "event_us").alias("arrival")
+    narrow = events.select("metric", "event_us", "event_ts", "value", "event_id", "meta_json", arrival)
     if mode == "event_time":
         keyed, processor, time_mode = narrow.withWatermark("event_ts", delay), EventTimeWindow(window_us, percentiles), "eventTime"
     else:
