@@ -9,10 +9,12 @@ ALERT_US = 12 * HOUR_US
 
 EV = "ev AS (SELECT event_type AS metric, epoch_us(ts) AS event_us, ts, value, props FROM events)"
 
+EV_SOME = EV.replace("FROM events", "FROM events WHERE event_id % 3 <> 0")
 
-def r(expr: str, places: int = 6) -> str:
-    """The rounding of the queries, see ``settled`` there."""
-    return f"round({expr} + 2.3e-7 * {10 ** (6 - places)}, {places})"
+
+def r(expr: str) -> str:
+    """A computed number in single precision, as the queries report it."""
+    return f"CAST(round({expr}, 9) AS FLOAT)"
 
 
 def window(source: str = "ev", interval: str = "6 hours", name: str = "s") -> str:
@@ -46,6 +48,9 @@ WITH_ZID = f"WITH {EV}, {window()}, {IDS}, {ZID}"
 ISO = """strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN event_us % 1000000 = 0 THEN ''
     ELSE '.' || lpad((event_us % 1000000)::VARCHAR, 6, '0') END"""
 
+ISO_US = ISO.replace("event_us", "us")
+SECONDS = "(us // 1000000)::VARCHAR || '.' || lpad((us % 1000000)::VARCHAR, 6, '0')"
+
 STATS_SQL = f"""WITH {EV}, {window()} SELECT metric, event_us, value, window_count,
   {r('mean')} AS mean, {r('variance')} AS variance, {r('stddev')} AS stddev FROM s"""
 
@@ -77,6 +82,17 @@ MESSAGES = """m AS (SELECT event_id AS row_num, event_type, user_id % 8 AS form,
     make_timestamp(us - CASE WHEN form = 4 THEN 7200000000 ELSE 0 END) AS ts, value, props
     FROM judged WHERE reason IS NULL)"""
 
+# The text of a message as the generator builds it from a row of ``judged``.
+STAMP = f"""CASE form WHEN 0 THEN '"' || {ISO_US} || 'Z"' WHEN 1 THEN {SECONDS} WHEN 2 THEN '"' || {SECONDS} || '"'
+  WHEN 3 THEN '"' || substr({ISO_US}, 1, 7) || '"' WHEN 4 THEN '"' || {ISO_US} || '+02:00"' WHEN 5 THEN '100.0'
+  ELSE '"' || {ISO_US} || '"' END"""
+WHOLE = f"""'{{"timestamp": ' || {STAMP} || ', "metric": "' || metric || '", "value": ' ||
+  CASE WHEN value > 200 THEN '"high"' WHEN value > 150 THEN '1e309' WHEN value > 120 THEN '"' || value::VARCHAR || '"'
+    ELSE value::VARCHAR END || ', "meta": ' || CASE WHEN form = 6 THEN '[1]' ELSE props END || '}}'"""
+RAW = f"""CASE WHEN value BETWEEN 2 AND 4 THEN substr({WHOLE}, 1, 20)
+  WHEN value BETWEEN 5 AND 6 THEN '{{"timestamp": ' || {STAMP} || '}}'
+  WHEN value BETWEEN 7 AND 7.5 THEN '[' || {WHOLE} || ']' ELSE {WHOLE} END"""
+
 
 def limiter(key: str) -> str:
     """Greedy minimum interval as a recursion from one sent alert to the next."""
@@ -112,8 +128,9 @@ RECORDS = f"""WITH {EV}, {window()}, {IDS}, {ZID}, {banded()},
 
 RUNS = """lines AS (SELECT l_orderkey, count(*) AS event_count, CAST(trunc(sum(l_quantity)) AS BIGINT) - 20 AS anomaly_count
     FROM lineitem GROUP BY l_orderkey),
-  runs AS (SELECT o_orderkey::VARCHAR AS key, event_count, anomaly_count, CASE o_orderstatus WHEN 'F' THEN 'failed'
-    WHEN 'O' THEN 'running' ELSE 'parked' END AS status FROM orders JOIN lines ON o_orderkey = l_orderkey)"""
+  runs AS (SELECT o_orderkey::VARCHAR AS key, coalesce(event_count, 0) AS event_count,
+    coalesce(anomaly_count, -20) AS anomaly_count, CASE o_orderstatus WHEN 'F' THEN 'failed'
+    WHEN 'O' THEN 'running' ELSE 'parked' END AS status FROM orders LEFT JOIN lines ON o_orderkey = l_orderkey)"""
 
 ORACLES: dict[str, str] = {
     "window_stats": STATS_SQL,
@@ -122,7 +139,7 @@ ORACLES: dict[str, str] = {
     "window_stats_frame": STATS_SQL,
     "window_stats_tied": f"""WITH li AS (SELECT l_returnflag AS metric, l_shipdate AS ts, epoch_us(l_shipdate) AS event_us,
         l_extendedprice AS value FROM lineitem), {window('li', '7 days')}
-      SELECT metric, event_us, value, window_count, {r('mean', 4)} AS mean, {r('stddev', 4)} AS stddev FROM s""",
+      SELECT metric, event_us, value, window_count, {r('mean')} AS mean, {r('stddev')} AS stddev FROM s""",
     "snapshot_stats": f"""WITH {EV} SELECT metric, window_count, {r('mean')} AS mean, {r('variance')} AS variance,
       {r('stddev')} AS stddev FROM ({snapshot(6 * 3600)})""",
     "snapshot_stats_listed": f"""WITH {EV}, names AS (SELECT metric FROM ev UNION SELECT o_orderpriority FROM orders)
@@ -144,14 +161,16 @@ ORACLES: dict[str, str] = {
       CASE WHEN window_count < 5 THEN 'insufficient_data' WHEN stddev = 0 THEN 'zero_stddev' END AS skip_reason FROM s""",
     "zscore_anomalies_orders": f"""WITH o AS (SELECT o_orderpriority AS metric, o_orderdate AS ts,
         epoch_us(o_orderdate) AS event_us, o_totalprice AS value FROM orders), {window('o', '30 days')}
-      SELECT metric, event_us, value, window_count, {r('mean', 4)} AS mean, {r('stddev', 4)} AS stddev,
-      {r('(value - mean) / stddev', 4)} AS z_score FROM s
+      SELECT metric, event_us, value, window_count, {r('mean')} AS mean, {r('stddev')} AS stddev,
+      {r('(value - mean) / stddev')} AS z_score FROM s
       WHERE window_count >= 5 AND stddev > 0 AND abs((value - mean) / stddev) >= 2""",
     "percentile_anomalies": f"""WITH {EV}, {banded()} SELECT metric, event_us, value, window_count, {r('mean')} AS mean,
       {r('stddev')} AS stddev, lower_bound, upper_bound FROM p WHERE value < lower_bound OR value > upper_bound""",
     "percentile_anomalies_thinned": f"""WITH {EV}, {banded('5 days')} SELECT metric, event_us, value, window_count,
       lower_bound, upper_bound FROM p WHERE value < lower_bound OR value > upper_bound""",
     "window_percentiles": f"WITH {EV}, {banded()} SELECT metric, event_us, lower_bound, upper_bound FROM p",
+    "percentile_with_nulls": f"""WITH {EV_SOME}, {banded()} SELECT metric, event_us, value, window_count, lower_bound,
+      upper_bound FROM p WHERE value < lower_bound OR value > upper_bound""",
     "detector_tally": f"""WITH {EV}, {window()}, {banded()}
       SELECT 'z-score' AS detection_method, (SELECT count(*) FROM ev) AS total_checked,
         (SELECT count(*) FROM s WHERE {ZHIT}) AS total_anomalies
@@ -169,7 +188,7 @@ ORACLES: dict[str, str] = {
       event_us AS detected_us FROM z ORDER BY event_us DESC, anomaly_id LIMIT 100""",
     "live_feed": f"{WITH_ZID} SELECT anomaly_id, metric, value, event_us FROM z ORDER BY event_us DESC, anomaly_id LIMIT 100",
     "validated_events": f"WITH {MESSAGES} SELECT row_num, metric, event_us, value, replace(props, ' ', '') AS meta_json FROM good",
-    "quarantine": f"WITH {MESSAGES} SELECT row_num, reason FROM judged WHERE reason IS NOT NULL",
+    "quarantine": f"WITH {MESSAGES} SELECT 'events' AS source, row_num, reason, {RAW} AS raw FROM judged WHERE reason IS NOT NULL",
     "quarantine_reasons": f"WITH {MESSAGES} SELECT reason, count(*) AS rows FROM judged WHERE reason IS NOT NULL GROUP BY reason",
     "validate_tally": f"""WITH {MESSAGES} SELECT count(*) AS consumed, count(*) FILTER (reason IS NULL) AS valid,
       count(*) FILTER (reason IS NOT NULL) AS invalid, count(*) FILTER (reason IS NULL AND metric <> 'signup') AS pushed,
@@ -184,10 +203,10 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT key, 'anomaly_count_exceeds', anomaly_count::VARCHAR FROM runs WHERE anomaly_count > event_count""",
     "status_rules": """SELECT o_orderkey::VARCHAR AS key, 'status' AS rule, 'lost' AS found FROM orders
       WHERE o_orderstatus NOT IN ('F', 'O')""",
-    "result_rules": """SELECT l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR AS key, 'anomaly_score' AS rule
-      FROM lineitem WHERE NOT (l_tax * 20 - 0.1 BETWEEN 0 AND 1)""",
+    "result_rules": """SELECT l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR AS key, 'anomaly_score' AS rule,
+      round(l_tax * 20 - 0.1, 2)::VARCHAR AS found FROM lineitem WHERE NOT (round(l_tax * 20 - 0.1, 2) BETWEEN 0 AND 1)""",
     "empty_batches": """SELECT c_custkey AS batch_id FROM customer
-      WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""",
+      WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""",
     "distinct_metrics": "SELECT DISTINCT event_type AS metric FROM events",
     "batch_metrics": """SELECT strftime(o_orderdate, '%Y-%m-%d') AS batch_id, count(*) AS event_count,
       array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS metrics FROM orders GROUP BY 1""",
@@ -219,7 +238,7 @@ ORACLES: dict[str, str] = {
       'Value: ' || printf('%.2f', value) || chr(10) || 'Mean: ' || printf('%.2f', mean) || chr(10) ||
       'Std Dev: ' || printf('%.2f', stddev) || chr(10) || 'Z-Score: ' || printf('%.2f', z_score) || chr(10) ||
       'Threshold: 3.00' || chr(10) || chr(10) || 'Detection Method: z-score' || chr(10) ||
-      'Timestamp: ' || {ISO} AS body FROM q""",
+      'Timestamp: ' || {ISO} || chr(10) || 'Detected At: ' || {ISO} AS body FROM q""",
     "alert_details": f"""{WITH_ZID}, {ROUNDED} SELECT anomaly_id, 'Anomaly Detected: ' || metric AS subject,
       strftime(ts, '%Y-%m-%d %H:%M:%S') AS detected, printf('%.2f', value) AS observed, printf('%.2f', z_score) AS z,
       printf('%.2f', mean) AS historical_mean, printf('%.2f', stddev) AS standard_deviation,
@@ -238,17 +257,32 @@ ORACLES: dict[str, str] = {
     "topic_messages": f"""WITH {EV} SELECT metric AS key, '{{"timestamp":"' || {ISO} || '","metric":"' || metric ||
       '","value":' || value::VARCHAR || ',"meta":' || replace(props, ' ', '') || '}}' AS value FROM ev""",
     "file_events": f"WITH {EV} SELECT metric, event_us, value, replace(props, ' ', '') AS meta_json FROM ev WHERE value <= 300",
+    "csv_quoted_newlines": f"WITH {EV} SELECT metric, event_us, value, '{{\"p\":' || replace(props, ' ', '') || '}}' AS meta_json FROM ev",
+    "json_files": f"WITH {EV} SELECT metric, event_us, value, replace(props, ' ', '') AS meta_json FROM ev",
+    "upload_report": f"""WITH {EV}, f AS (SELECT 'kind=' || metric || '/day=' || strftime(ts, '%Y-%m-%d') AS file, count(*) AS total_rows,
+        count(*) FILTER (value <= 150) AS success_count, count(*) FILTER (value > 150) AS error_count FROM ev GROUP BY 1)
+      SELECT file, true AS success, total_rows, success_count, error_count,
+        CAST(CASE WHEN error_count <= 10 THEN error_count ELSE 0 END AS INTEGER) AS errors_listed,
+        CASE WHEN error_count > 10 THEN 'Too many errors to display (' || error_count || ' total)' END AS errors_note,
+        NULL::VARCHAR AS file_error FROM f
+      UNION ALL SELECT 'absent.csv', false, 0, 0, 0, 0, NULL, 'File not found'
+      UNION ALL SELECT 'data.xml', false, 0, 0, 0, 0, NULL, 'Invalid file format. Supported: CSV, JSON, TXT'""",
     "upload_totals": """SELECT count(*) FILTER (value <= 300) AS total_success_count,
       count(*) FILTER (value > 300) AS total_error_count FROM events""",
     "result_store": f"{WITH_ZID} SELECT anomaly_id, metric, event_us, value, window_count + 1000 AS window_count FROM z",
+    "result_by_id": f"""{WITH_ZID} SELECT anomaly_id, metric, event_us, value, window_count + 1000 AS window_count FROM z
+      WHERE anomaly_id = (SELECT min(anomaly_id) FROM z)""",
+    "retention_rewrite": f"WITH {EV} SELECT metric, event_us, value FROM ev WHERE {RETAINED}",
     "event_store_range": f"""WITH {EV} SELECT metric, event_us, value FROM ev
       WHERE event_us BETWEEN {AS_OF_US - 5 * DAY_US} AND {AS_OF_US + 5 * DAY_US}""",
     "stream_window_stats": f"{STATS_SQL} WHERE event_us <= {WATERMARK}",
+    "stream_restarted": STATS_SQL,
     "stream_arrival_scores": f"{WITH_Z} {FLAGGED_Z}",
     "stream_percentile_anomalies": f"""WITH {EV}, {banded()} SELECT metric, event_us, value, window_count, lower_bound,
       upper_bound FROM p WHERE (value < lower_bound OR value > upper_bound) AND event_us <= {WATERMARK}""",
     "stream_ingest": f"""WITH {MESSAGES} SELECT coalesce(reason, metric) AS metric, count(*) AS rows FROM judged GROUP BY 1""",
     "stream_micro_batches": f"{WITH_Z} {FLAGGED_Z}",
+    "stream_feed": f"{WITH_ZID} SELECT anomaly_id, metric, value, event_us FROM z ORDER BY event_us DESC, anomaly_id LIMIT 100",
     "stream_alerts": f"""{RECURSIVE_ZID}, {limiter(chr(39) * 2)} SELECT count(*) AS total_broadcasted,
       count(*) FILTER (sent) AS total_emails_sent, 0::BIGINT AS total_errors FROM verdict""",
     "stream_dedupe": f"WITH {EV} SELECT metric, event_us, value FROM ev",

@@ -28,18 +28,14 @@ BAND = PercentileDetector(5.0, 95.0, 20)
 ZSCORE = ZScoreDetector()
 ADDRESSES = " ops@example.org, ,lead@example.org "
 
-# Decimal ties such as 12.3450000 | 5 are common in means of two-decimal values and engines may
-# fall on either side of them; shifting by a fraction of the last place moves numbers off the ties.
-TIE_SHIFT = 2.3e-7
+def _settle(df: DataFrame, *names: str) -> DataFrame:
+    """Computed numbers in single precision: engines differ in the last bits of a double."""
+    return df.withColumns({n: F.round(n, 9).cast("float") for n in names})
 
 
-def settled(column: str | Column, places: int = 6) -> Column:
-    c = F.col(column) if isinstance(column, str) else column
-    return F.round(c + TIE_SHIFT * 10.0 ** (6 - places), places)
-
-
-def _settle(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
-    return df.withColumns({n: settled(n, places) for n in names})
+def _for_text(df: DataFrame, *names: str) -> DataFrame:
+    """The same numbers as doubles, so that texts show what the columns hold."""
+    return _settle(df, *names).withColumns({n: F.col(n).cast("double") for n in names})
 
 
 def _stats_columns(df: DataFrame, *first: str) -> DataFrame:
@@ -71,7 +67,7 @@ def window_stats_tied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many events share an instant here; each of them sees all of them."""
     scored = windows.window_stats(shipment_series(spark, sf_dir), WEEK_US, slices=7)
     return _settle(
-        scored.select("metric", "event_us", "value", "window_count", "mean", "stddev"), "mean", "stddev", places=4
+        scored.select("metric", "event_us", "value", "window_count", "mean", "stddev"), "mean", "stddev"
     )
 
 
@@ -127,7 +123,7 @@ def zscore_anomalies_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     flagged = ZScoreDetector(2.0, 5).anomalies(order_series(spark, sf_dir), 30 * DAY_US)
     return _settle(
         flagged.select("metric", "event_us", "value", "window_count", "mean", "stddev", "z_score"),
-        "mean", "stddev", "z_score", places=4,
+        "mean", "stddev", "z_score",
     )
 
 
@@ -152,6 +148,13 @@ def window_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentile_bounds(events, stats, WINDOW_US, 5.0, 95.0, 20)
 
 
+def percentile_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third event has no value; it counts in no window and moves no bound."""
+    value = F.when(F.col("event_id") % 3 != 0, F.col("value"))
+    events = events_from_table(table(spark, sf_dir, "events"), "event_type", "ts", value, "props", "events")
+    return BAND.anomalies(events, WINDOW_US).select("metric", "event_us", "value", "window_count", "lower_bound", "upper_bound")
+
+
 def detector_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = event_series(spark, sf_dir)
     columns = ("detection_method", "total_checked", "total_anomalies")
@@ -254,7 +257,7 @@ def validated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = validate.quarantine(validate.checked_messages(raw_messages(spark, sf_dir)))
-    return bad.select("row_num", "reason")
+    return bad.select("source", "row_num", "reason", "raw")
 
 
 def quarantine_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -298,7 +301,7 @@ def run_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = (
         F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "running").otherwise("parked")
     )
-    runs = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(
+    runs = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").fillna(0, ["event_count", "anomaly_count"]).select(
         F.col("o_orderkey").alias("run_id"), "event_count", (F.col("anomaly_count") - 20).alias("anomaly_count"),
         status.alias("status"),
     )
@@ -315,15 +318,15 @@ def status_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = table(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("event_id"), (F.col("l_tax") * 20 - 0.1).alias("anomaly_score")
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("event_id"), F.round(F.col("l_tax") * 20 - 0.1, 2).alias("anomaly_score")
     )
-    return validate.result_violations(results).select("key", "rule")
+    return validate.result_violations(results)
 
 
 def empty_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as announced batches, their orders in processing as the events."""
+    """Customers as announced batches, their orders as the events."""
     batches = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("batch_id"))
-    events = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "P")
+    events = table(spark, sf_dir, "orders")
     return validate.empty_batches(batches, events.select(F.col("o_custkey").alias("batch_id")))
 
 
@@ -390,11 +393,11 @@ def alert_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alert_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alerts.alert_text(_settle(_records(spark, sf_dir), "mean", "stddev", "z_score"))
+    return alerts.alert_text(_for_text(_records(spark, sf_dir), "mean", "stddev", "z_score"))
 
 
 def alert_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = alerts.alert_details(_settle(_records(spark, sf_dir), "mean", "stddev", "z_score"))
+    shown = alerts.alert_details(_for_text(_records(spark, sf_dir), "mean", "stddev", "z_score"))
     return _settle(shown, "deviation")
 
 
@@ -405,7 +408,7 @@ def alert_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
 def display_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of both methods; percentile records have no z-score to show."""
     found = detectors.detect_all(event_series(spark, sf_dir), [ZSCORE, BAND], WINDOW_US, F.timestamp_micros("event_us"))
-    return alerts.display_rows(_settle(found, "mean", "stddev", "z_score"))
+    return alerts.display_rows(_for_text(found, "mean", "stddev", "z_score"))
 
 
 def alert_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -451,6 +454,47 @@ def file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.valid(checked).select("metric", "event_us", "value", "meta_json")
 
 
+def csv_quoted_newlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV records whose quoted metadata run over several lines."""
+    root = sinks.scratch_dir(spark, "quoted")
+    meta = F.concat(F.lit('{\n"p":\n'), F.col("meta_json"), F.lit("\n}"))
+    rows = event_series(spark, sf_dir).select(
+        meta.alias("meta"), "metric", F.col("value").cast("string").alias("value"), F.concat(micros_to_iso("event_us"), F.lit("Z")).alias("timestamp")
+    )
+    rows.repartition(8).write.option("header", "true").option("escape", '"').csv(root)
+    return validate.valid(files.read_csv(spark, [root]).checked()).select("metric", "event_us", "value", "meta_json")
+
+
+def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON array of events per file, a file per hour."""
+    root = sinks.scratch_dir(spark, "json")
+    item = F.struct(
+        F.concat(micros_to_iso("event_us"), F.lit("Z")).alias("timestamp"), "metric", "value", F.try_parse_json("meta_json").alias("meta")
+    )
+    hours = event_series(spark, sf_dir).groupBy(F.floor(F.col("event_us") / HOUR_US).alias("hour")).agg(F.collect_list(item).alias("items"))
+    hours.select(F.to_json("items")).write.option("maxRecordsPerFile", 1).text(root)
+    scan = files.read_json(spark, [root], "*.txt")
+    return validate.valid(scan.checked()).select("metric", "event_us", "value", "meta_json")
+
+
+def upload_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcome of every uploaded file: one per metric and day, and two paths that cannot be read."""
+    root = sinks.scratch_dir(spark, "uploads")
+    rows = event_series(spark, sf_dir).select(
+        F.col("metric").alias("kind"), F.date_format("event_ts", "yyyy-MM-dd").alias("day"), "metric",
+        F.when(F.col("value") > 150, "n/a").otherwise(F.col("value").cast("string")).alias("value"),
+        F.concat(micros_to_iso("event_us"), F.lit("Z")).alias("timestamp"),
+    )
+    rows.repartition("kind", "day").write.partitionBy("kind", "day").option("header", "true").csv(root)
+    scan = files.read_files(spark, [root, f"{root}/absent.csv", f"{root}.v1/data.xml"])
+    report = reports.upload_summary(scan.checked(), scan.files)
+    name = F.regexp_extract("source", r"(kind=[^/]+/day=[^/]+|absent\.csv|data\.xml)", 1)
+    return report.select(
+        name.alias("file"), "success", "total_rows", "success_count", "error_count",
+        F.coalesce(F.size("errors"), F.lit(0)).alias("errors_listed"), "errors_note", "file_error",
+    )
+
+
 def upload_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     scan, lines = _file_scan(spark, sf_dir)
     listed = scan.files.unionByName(
@@ -470,6 +514,29 @@ def result_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("anomaly_id", "metric", "event_us", "value", "window_count")
 
 
+def result_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record with the smallest id, looked up in a store of two batches that was compacted."""
+    path = sinks.scratch_dir(spark, "results")
+    found = _records(spark, sf_dir)
+    sinks.upsert_results(found, path, 0)
+    sinks.upsert_results(found.withColumn("window_count", F.col("window_count") + 1000), path, 1)
+    sinks.compact_results(spark, path, f"{path}-compact", 2)
+    wanted = sinks.read_results(spark, path).agg(F.min("anomaly_id")).first()[0]
+    stored = sinks.result_by_id(spark, f"{path}-compact", wanted or "anomaly-")
+    return stored.select("anomaly_id", "metric", "event_us", "value", "window_count")
+
+
+def retention_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw table rewritten without old events, a cleared copy of it, and that copy filled again."""
+    path = sinks.scratch_dir(spark, "raw")
+    sinks.append_events(event_series(spark, sf_dir), path)
+    sinks.rewrite_retained(spark, path, f"{path}-kept", AS_OF_US - WINDOW_US)
+    sinks.clear(spark, path, f"{path}-cleared")
+    kept = spark.read.parquet(f"{path}-kept")
+    both = kept.select("metric", "event_us", "value").unionByName(spark.read.parquet(f"{path}-cleared").select("metric", "event_us", "value"))
+    return both
+
+
 def event_store_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw table written by day, then ten days of it read back."""
     path = sinks.scratch_dir(spark, "raw")
@@ -506,6 +573,37 @@ def stream_window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stats_columns(_run(scored, sinks.scratch_dir(spark, "stream")), "metric", "event_us", "value")
 
 
+def _in_turns(spark: SparkSession, sf_dir: str, path: str, turns: range, of: int) -> None:
+    """Add stretches of the events table to a folder, one file and one later write each."""
+    span = table(spark, sf_dir, "events").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    if span["lo"] is None:
+        return
+    lo, hi = (F.unix_micros(F.lit(t).cast("timestamp")) for t in span)
+    turn = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - lo) * of / (hi - lo + 1))
+    for n in turns:
+        table(spark, sf_dir, "events").filter(turn == n).coalesce(1).sortWithinPartitions("ts").write.mode("append").parquet(path)
+
+
+def stream_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window statistics over six batches: three, a stop, three more and a closing event from the same checkpoint.
+
+    The closing event, two days later and of a metric of its own, moves the watermark past all waiting ones.
+    """
+    stateful.use_rocksdb(spark)
+    path = sinks.scratch_dir(spark, "stream")
+    schema = table(spark, sf_dir, "events").schema
+    for turns in (range(0, 3), range(3, 6)):
+        _in_turns(spark, sf_dir, f"{path}/in", turns, 6)
+        if turns.stop == 6:
+            newest = table(spark, sf_dir, "events").agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
+            closing = [F.lit("closing") if f.name == "event_type" else F.col("ts") if f.name == "ts" else F.lit(0) if f.name == "value" else F.lit(None) for f in schema]
+            newest.select(*(c.cast(f.dataType).alias(f.name) for c, f in zip(closing, schema))).write.mode("append").parquet(f"{path}/in")
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        events = events_from_table(rows, "event_type", "ts", "value", "props", "events")
+        scored = _run(stateful.score_stream(events, WINDOW_US, "event_time", "1 hour"), path)
+    return _stats_columns(scored.filter("metric <> 'closing'"), "metric", "event_us", "value")
+
+
 def stream_arrival_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrival-order stream; the table is in time order, so every window is the event-time one."""
     found = jobs.detect_stream(_event_stream(spark, sf_dir), ZSCORE, WINDOW_US, "arrival")
@@ -541,6 +639,19 @@ def stream_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flagged_z(sinks.read_results(spark, f"{root}/results"))
 
 
+def stream_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records arrive in three batches, oldest first; the feed of the last one is the newest hundred."""
+    root = sinks.scratch_dir(spark, "feed")
+    found = _records(spark, sf_dir).select("anomaly_id", "metric", "value", "event_us", "detected_at")
+    for low, high in ((None, AS_OF_US - 5 * DAY_US), (AS_OF_US - 5 * DAY_US, AS_OF_US + 5 * DAY_US), (AS_OF_US + 5 * DAY_US, None)):
+        part = F.lit(True) if low is None else F.col("event_us") >= low
+        part = part if high is None else part & (F.col("event_us") < high)
+        found.filter(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    arriving = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    jobs.start(arriving, jobs.feed_handler(f"{root}/feed"), f"{root}/checkpoint", available_now=True).awaitTermination()
+    return jobs.read_feed(spark, f"{root}/feed", found.schema).select("anomaly_id", "metric", "value", "event_us")
+
+
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records flow through the limiter and out to two channels; the log is tallied."""
     root = sinks.scratch_dir(spark, "alerts")
@@ -570,14 +681,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         window_stats, window_stats_sliced, window_stats_bucketed, window_stats_frame, window_stats_tied,
         snapshot_stats, snapshot_stats_listed, latest_state, retention, retention_one_metric, rolling_mean,
         zscore_anomalies, zscore_scores, zscore_anomalies_orders, percentile_anomalies,
-        percentile_anomalies_thinned, window_percentiles, detector_tally, candidate_scores,
+        percentile_anomalies_thinned, percentile_with_nulls, window_percentiles, detector_tally, candidate_scores,
         candidate_snapshot_scores, anomaly_records, recent_anomalies, live_feed, validated_events, quarantine,
         quarantine_reasons, validate_tally, event_id_hash, dedupe, dedupe_shipments, backlog, run_rules,
         status_rules, result_rules, empty_batches, distinct_metrics, batch_metrics, tracked_metric_count,
         dashboard_counters, run_summary, processor_summary, fifo_order, alert_rate_limit,
         alert_rate_limit_by_metric, alert_tally, alert_text, alert_details, alert_recipients, display_rows,
-        alert_messages, topic_messages, file_events, upload_totals, result_store, event_store_range,
+        alert_messages, topic_messages, file_events, csv_quoted_newlines, json_files, upload_report, upload_totals,
+        result_store, result_by_id, retention_rewrite, event_store_range, stream_restarted,
         stream_window_stats, stream_arrival_scores, stream_percentile_anomalies, stream_ingest,
-        stream_micro_batches, stream_alerts, stream_dedupe,
+        stream_micro_batches, stream_feed, stream_alerts, stream_dedupe,
     )
 }
