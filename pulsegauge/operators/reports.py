@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pulsegauge.operators.joins import join_summary
 
 ERROR_LIST_LIMIT = 10
+#: Processing times that a summary's mean covers.
+NEWEST_DURATIONS = 1000
 RECENT_COLUMNS = ("event_id", "metric", "value", "timestamp", "z_score", "detected_at")
 
 
@@ -48,14 +50,24 @@ def reject_counts(checked: DataFrame) -> DataFrame:
     return checked.filter(F.col("reason").isNotNull()).groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def processor_summary(checked: DataFrame, anomalies: DataFrame, raw: DataFrame | None = None, durations: DataFrame | None = None) -> DataFrame:
+def processor_summary(
+    checked: DataFrame, anomalies: DataFrame, raw: DataFrame | None = None, durations: DataFrame | None = None,
+    log: DataFrame | None = None, params: dict[str, float] | None = None, newest: int = NEWEST_DURATIONS,
+) -> DataFrame:
     """One row over a processing run, put together from counts that each run in parallel.
 
+    ``durations`` (``at``, ``duration_ms``) give the mean of the ``newest`` ones, ``log`` (see ``alert_tally``) the
+    alert counters, and ``params`` are the detector's. Pass ``checked`` stored or persisted: it is counted,
+    scored and compared with the backlog.
+
     Every part yields the same columns with zeros where it has nothing to say, and one last
     aggregate adds them up; no join is needed to set single rows side by side.
     """
     zero = F.lit(0).cast("bigint")
-    names = ("total_processed", "total_errors", "metrics_tracked", "total_anomalies", "queue_size")
+    names = (
+        "total_processed", "total_errors", "metrics_tracked", "total_anomalies", "queue_size", "detector_total_checked",
+        "detector_total_anomalies", "alert_total_broadcasted", "alert_total_emails_sent", "alert_total_errors",
+    )
 
     def part(df: DataFrame, **counts: Column) -> DataFrame:
         columns = [counts.get(n, zero).alias(n) for n in names]
@@ -68,19 +80,24 @@ def processor_summary(checked: DataFrame, anomalies: DataFrame, raw: DataFrame |
             total_processed=F.count_if(good),
             total_errors=F.count_if(~good),
             metrics_tracked=F.count_distinct(F.when(good, F.col("metric"))),
+            detector_total_checked=F.count_if(good),
         ),
-        part(anomalies, total_anomalies=F.count(F.lit(1))),
+        part(anomalies, total_anomalies=F.count(F.lit(1)), detector_total_anomalies=F.count(F.lit(1))),
     ]
     if raw is not None:
         parts.append(part(raw, queue_size=F.count(F.lit(1))))
     if durations is not None:
-        parts.append(part(durations, avg=F.avg("duration_ms")))
+        last = durations.orderBy(F.desc("at"), F.desc("duration_ms")).limit(newest)
+        parts.append(part(last, avg=F.avg("duration_ms")))
+    if log is not None:
+        parts.append(part(alert_tally(log), **{f"alert_{n}": F.sum(n) for n in ("total_broadcasted", "total_emails_sent", "total_errors")}))
     total, *rest = parts
     for more in rest:
         total = total.unionByName(more)
     return total.agg(
         *[F.sum(n).alias(n) for n in names],
         F.coalesce(F.max("avg_processing_time_ms"), F.lit(0.0)).alias("avg_processing_time_ms"),
+        *[F.lit(v).alias(f"detector_{k}") for k, v in (params or {}).items()],
     )
 
 

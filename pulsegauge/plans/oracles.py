@@ -221,13 +221,17 @@ ORACLES: dict[str, str] = {
       SELECT runs.run_id, event_count, coalesce(anomaly_count, 0) AS anomaly_count, started_us,
         CASE WHEN status <> 'running' THEN completed_us END AS completed_us, status
       FROM runs LEFT JOIN hits ON runs.run_id = hits.run_id""",
-    "processor_summary": f"""WITH {MESSAGES}, {window('good')} SELECT
+    "processor_summary": f"""WITH RECURSIVE {MESSAGES}, {window('good')}, {IDS}, {ZID}, {limiter(chr(39) * 2)} SELECT
       (SELECT count(*) FROM good) AS total_processed,
       (SELECT count(*) FROM judged WHERE reason IS NOT NULL) AS total_errors,
       (SELECT count(DISTINCT metric) FROM good) AS metrics_tracked,
       (SELECT count(*) FROM s WHERE {ZHIT}) AS total_anomalies,
       (SELECT count(*) FROM good WHERE event_us >= {AS_OF_US}) AS queue_size,
-      (SELECT {r('avg(value)')} FROM events) AS avg_processing_time_ms""",
+      (SELECT count(*) FROM good) AS detector_total_checked, (SELECT count(*) FROM z) AS detector_total_anomalies,
+      2.0::DOUBLE AS detector_threshold, 5 AS detector_min_count,
+      (SELECT count(*) FROM verdict) AS alert_total_broadcasted, (SELECT count(*) FILTER (sent) FROM verdict) AS alert_total_emails_sent,
+      0::BIGINT AS alert_total_errors,
+      (SELECT {r('avg(value)')} FROM (SELECT value FROM events ORDER BY event_id DESC LIMIT 1000)) AS avg_processing_time_ms""".replace(">= 3", ">= 2"),
     "fifo_order": f"WITH {EV} SELECT metric, event_us, value FROM ev ORDER BY metric, event_us",
     "alert_rate_limit": f"{RECURSIVE_ZID}, {limiter(chr(39) * 2)} SELECT metric, event_us, value, sent FROM verdict",
     "alert_rate_limit_by_metric": f"{RECURSIVE_ZID}, {limiter('metric')} SELECT metric, event_us, value, sent FROM verdict",

@@ -360,11 +360,16 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def processor_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = validate.checked_messages(raw_messages(spark, sf_dir))
+    """A run over the mixed messages, which are checked once and stored."""
+    checked = sinks.stored(validate.checked_messages(raw_messages(spark, sf_dir)), "checked")
     good = validate.valid(checked)
     waiting = validate.backlog(good, good.filter(F.col("event_us") < AS_OF_US))
-    durations = table(spark, sf_dir, "events").select(F.col("value").alias("duration_ms"))
-    summary = reports.processor_summary(checked, ZSCORE.anomalies(good, WINDOW_US), waiting, durations)
+    durations = table(spark, sf_dir, "events").select(F.col("event_id").alias("at"), F.col("value").alias("duration_ms"))
+    detector = ZScoreDetector(2.0, 5)
+    found = detectors.detect(good, detector, WINDOW_US, F.timestamp_micros("event_us")).select("anomaly_id", "event_us")
+    found = sinks.stored(found, "found")
+    log = alerts.alert_log(alerts.rate_limit(found, ALERT_US, "event_us"))
+    summary = reports.processor_summary(checked, found, waiting, durations, log, detector.params())
     return _settle(summary, "avg_processing_time_ms")
 
 
