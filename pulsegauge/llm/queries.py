@@ -68,7 +68,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.transform("removed", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
     return found.select(
         F.col("row.doc_id").alias("doc_id"), F.coalesce("clean_text", F.lit("")).alias("clean_text"),
-        F.size("removed").cast("bigint").alias("removed_lines"), F.concat_ws(",", spans).alias("removed_spans"),
+        F.size("removed").cast("bigint").alias("removed_stretches"), F.concat_ws(",", spans).alias("removed_spans"),
     )
 
 
@@ -100,21 +100,31 @@ LLM_ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
     "op9_line_dedup": r"""
-        WITH cut AS (
-            SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+        WITH marked AS (
+            SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''),
+                '(\n+)', '\1' || chr(30), 'g'), '([.!?]) ', '\1 ' || chr(30), 'g'),
+                '([^.!?\s]) ([A-ZÀ-ÖØ-Þ])', '\1 ' || chr(30) || '\2', 'g'),
+                '([^.!?\s]) ([A-ZÀ-ÖØ-Þ])', '\1 ' || chr(30) || '\2', 'g') AS text
+            FROM documents
         ), numbered AS (
-            SELECT doc_id, unnest(range(len(parts))) AS line, unnest(parts) AS part,
-                   unnest(list_transform(range(len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda p: length(p) + 1)))) AS before
-            FROM cut
+            SELECT doc_id, unnest(range(len(string_split(text, chr(30))))) AS unit, unnest(string_split(text, chr(30))) AS part FROM marked
         ), worded AS (
-            SELECT doc_id, line, part, coalesce(before, 0) AS before,
+            SELECT doc_id, unit, part, CAST(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY unit) AS BIGINT) AS upto,
                    list_filter(regexp_split_to_array(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
             FROM numbered
         ), ranked AS (
-            SELECT *, len(words) >= 10 AND row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, line) > 1 AS gone FROM worded
+            SELECT *, len(words) > 0 AND row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, unit) > 1 AS later FROM worded
+        ), stretched AS (
+            SELECT *, unit - row_number() OVER (PARTITION BY doc_id, later ORDER BY unit) AS run FROM ranked
+        ), judged AS (
+            SELECT *, later AND sum(len(words)) OVER (PARTITION BY doc_id, later, run) >= 25 AS gone FROM stretched
+        ), spans AS (
+            SELECT doc_id, min(upto - length(part)) AS low, max(upto) AS high FROM judged WHERE gone GROUP BY doc_id, run
+        ), cut AS (
+            SELECT doc_id, count(*) AS n, string_agg(low || '-' || high, ',' ORDER BY low) AS listed FROM spans GROUP BY doc_id
+        ), kept AS (
+            SELECT doc_id, coalesce(string_agg(part, '' ORDER BY unit) FILTER (NOT gone), '') AS clean_text FROM judged GROUP BY doc_id
         )
-        SELECT doc_id, coalesce(string_agg(part, chr(10) ORDER BY line) FILTER (NOT gone), '') AS clean_text,
-               count(*) FILTER (gone) AS removed_lines,
-               coalesce(string_agg(CAST(before AS BIGINT) || '-' || CAST(before + length(part) AS BIGINT), ',' ORDER BY line) FILTER (gone), '') AS removed_spans
-        FROM ranked GROUP BY doc_id""",
+        SELECT kept.doc_id, clean_text, coalesce(n, 0) AS removed_stretches, coalesce(listed, '') AS removed_spans
+        FROM kept LEFT JOIN cut ON kept.doc_id = cut.doc_id""",
 }

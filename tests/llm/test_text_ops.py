@@ -99,7 +99,7 @@ def test_equals_sql(spark, name):
 
 
 def test_line_dedup_odd_rows(odd_docs, no_docs):
-    got = lines.dedup_lines(odd_docs).collect()
+    got = lines.dedup_lines(odd_docs, min_words=10).collect()
     assert len(got) == odd_docs.count()
     by = {r["row"]["doc_id"]: r for r in got if r["row"]["doc_id"] is not None}
     assert by[1]["removed"] == [] and by[2]["clean_text"] == "first line\nlast line"
@@ -110,6 +110,22 @@ def test_line_dedup_odd_rows(odd_docs, no_docs):
     assert lines.dedup_lines(no_docs).count() == 0
 
 
+def test_pasted_passages_are_cut(spark):
+    """A passage inside a line of two documents stays in the first; short repeats and all else stay everywhere."""
+    passage = "Every " + ". The ".join(" ".join(f"p{i}q{j}" for j in range(9)) for i in range(6)) + "."
+    texts = [
+        f"One own beginning without an end {passage} and an end.\nReleased under a licence.",
+        f"Another line.\nWords before {passage} words behind.\nReleased under a licence.",
+        f"{passage}\n\nReleased under a licence. A clean rest.", "Nothing here repeats. Released under a licence.", passage, passage,
+    ]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS)
+    got = {r["row"]["doc_id"]: r["clean_text"] for r in lines.dedup_lines(docs).collect()}
+    assert got[0] == texts[0] and got[3] == texts[3]
+    assert got[1] == "Another line.\nWords before words behind.\nReleased under a licence."
+    assert got[2].endswith("A clean rest.") and "p2q1" not in got[2] and got[4] == got[5] == ""
+    assert {r["doc_id"] for r in lines.drop_repeated_lines(docs).collect()} == {0, 1, 2, 3}
+
+
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
