@@ -6,11 +6,16 @@ import os
 import re
 import sys
 import types
-
-import numpy as np
-
-#: Pieces remembered per worker and table; a full table is emptied, so memory stays bounded.
-PIECES = 400_000
+import unicodedata
+from array import array
+
+#: Pieces remembered per worker and table (about 200 bytes each); a full table is emptied, so memory stays bounded.
+PIECES = 1_000_000
+#: Words on which the direct way is compared with the library's own before it is used.
+PROBES = ("the", "Straße", "ÉTÉ", "naïve", "Zürich", "ПРИВЕТ", "日本語", "ſ", "ﬁn", "İstanbul", "ΣΑΣ", "ñandú", "Ǆ")
+# byte-level vocabularies write a byte as its Latin-1 character if that is visible, and the others in order from U+0100
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTE_NAMES = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
 _ODD_SPACE = re.compile(r"[^\S \n]")
 _DOUBLED = re.compile(r"[ \n]{2}|^ |[ \n]\Z")
 _UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -23,12 +28,14 @@ class _Pieces(dict):
     letter is a pre-token of its own in the vocabularies used, so such pieces share the ids of the rest.
     """
 
-    def __init__(self, encode, space: str):
+    def __init__(self, encode, encode_word, space: str):
         super().__init__()
-        self._encode, self._space = encode, space
+        self._encode, self._encode_word, self._space = encode, encode_word, space
 
     def __missing__(self, piece: str) -> bytes:
-        if piece[-1:] in (",", ".") and piece[-2:-1].isalpha():
+        if piece.isalpha():
+            ids = self._encode_word(self._space, piece)
+        elif piece[-1:] in (",", ".") and piece[-2:-1].isalpha():
             ids = self[piece[:-1]] + self._encode(piece[-1])
         elif piece.startswith("\n"):
             ids = self._encode(piece)
@@ -59,11 +66,31 @@ class Encoder:
         word_end = getattr(self._tokenizer.model, "end_of_word_suffix", None)
         byte_level = type(self._tokenizer.pre_tokenizer).__name__ == "ByteLevel"
         self._kind = "dropped" if word_end else "kept" if byte_level else "unknown"
-        self._first = _Pieces(self._direct, "")
-        self._later = _Pieces(self._direct, " " if self._kind == "kept" else "")
+        self._model = self._tokenizer.model
+        same = self._kind != "unknown" and all(self._word(s, w) == self._direct(s + w) for w in PROBES for s in self._spaces())
+        word = self._word if same else lambda space, text: self._direct(space + text)
+        self._first = _Pieces(self._direct, word, "")
+        self._later = _Pieces(self._direct, word, self._spaces()[-1])
+
+    def _spaces(self) -> tuple[str, ...]:
+        return ("", " ") if self._kind == "kept" else ("",)
 
     def _direct(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, space: str, word: str) -> bytes:
+        """The ids of a word of letters, which is one pre-token, from the vocabulary's model alone.
+
+        Vocabularies that drop white space compose and lower-case a text first; words for which that is not
+        the same as Python's lower-casing are left to the library.
+        """
+        if self._kind == "dropped" and not (word.isascii() and word.islower()):
+            if "Σ" in word or not unicodedata.is_normalized("NFC", word) or not (low := word.lower()).isalpha():
+                return self._direct(word)
+            word = low
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_NAMES)
+        return array("I", [t.id for t in self._model.tokenize("Ġ" + word if space else word)]).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit bytes; a null text is empty."""
