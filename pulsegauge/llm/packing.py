@@ -19,6 +19,8 @@ from pulsegauge.sources.sinks import stored
 SHARD = 2000
 ISLANDS = 2
 EPOCHS = 2
+#: Bins filled less than this are dealt out again, so many times in all.
+LOOSE, ROUNDS = 0.97, 3
 POPULATION = 4
 CHILDREN = 6
 #: A bin this full is passed on whole by a crossover.
@@ -117,18 +119,32 @@ def _solution(bins: pd.Series) -> list[list[int]]:
     return [list(items) for items in pd.Series(np.arange(len(bins))).groupby(bins.to_numpy()).apply(list)]
 
 
-def assign_sequences(pieces: DataFrame, capacity: int, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+def assign_sequences(pieces: DataFrame, capacity: int, islands: int = ISLANDS, epochs: int = EPOCHS, rounds: int = ROUNDS) -> DataFrame:
     """``item``, ``sequence_id`` and ``offset`` for ``item`` (unique) and ``length`` (1 to ``capacity``).
 
-    Pieces as long as a sequence fill one each. The others are dealt to shards by a hash of the item;
-    each shard is packed by a ring of islands, populations with seeds of their own. After each epoch every
-    island's elite moves on to the next island of its ring by a shuffle, where it takes part in crossovers.
-    At the end a shard takes its best elite. Groups hold a shard's pieces once or twice, whatever the corpus's size.
+    Pieces as long as a sequence fill one each. The others are packed in shards, and what lies in bins that
+    stayed loose is dealt to shards anew, so that the last bins of all shards fill each other up.
     """
     whole = pieces.filter(F.col("length") >= capacity).select("item", (F.col("item") + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
-    rest = pieces.filter(F.col("length") < capacity)
+    rest = pieces.filter(F.col("length") < capacity).select("item", F.col("length").cast("int").alias("length"))
+    for turn in range(rounds):
+        packed = stored(pack_shards(rest, capacity, islands, epochs, turn), "packed")
+        loose = (F.col("fill") < LOOSE * capacity) if turn < rounds - 1 else F.lit(False)
+        whole = whole.union(packed.filter(~loose).select("item", "sequence_id", "offset"))
+        rest = packed.filter(loose).select("item", "length")
+    return whole
+
+
+def pack_shards(rest: DataFrame, capacity: int, islands: int, epochs: int, turn: int) -> DataFrame:
+    """``item``, ``length``, ``sequence_id``, ``offset`` and ``fill`` (of the sequence) for all items.
+
+    Items are dealt to shards by a hash; each shard is packed by a ring of islands, populations with seeds
+    of their own. After each epoch every island's elite moves on to the next island of its ring by a shuffle,
+    where it takes part in crossovers. At the end a shard takes its best elite. Groups hold a shard's
+    pieces once or twice, whatever the corpus's size.
+    """
     shards = max(1, -(-rest.count() // SHARD))
-    dealt = rest.select(F.pmod(F.xxhash64("item"), F.lit(shards)).alias("shard"), "item", F.col("length").cast("int").alias("length"))
+    dealt = rest.select(F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(shards)).alias("shard"), "item", "length")
     layout = "shard bigint, island int, item bigint, length int, home int, bin int"
     rows = dealt.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "item", "length")
     rows = rows.select("shard", "island", "item", "length", F.col("island").alias("home"), F.lit(-1).alias("bin"))
@@ -142,7 +158,7 @@ def assign_sequences(pieces: DataFrame, capacity: int, islands: int = ISLANDS, e
         elites = [group for _, group in frame.groupby("home", sort=True)]
         lengths = elites[0]["length"].tolist()
         known = [_solution(e["bin"]) for e in elites if e["bin"].iloc[0] >= 0]
-        best = evolve(lengths, known, capacity, zlib.crc32(f"{shard}/{island}/{number}".encode()))
+        best = evolve(lengths, known, capacity, zlib.crc32(f"{turn}/{shard}/{island}/{number}".encode()))
         bins = np.empty(len(lengths), np.int32)
         for k, items in enumerate(best):
             bins[items] = k
@@ -158,11 +174,12 @@ def assign_sequences(pieces: DataFrame, capacity: int, islands: int = ISLANDS, e
         counts = frame.groupby("home")["bin"].nunique()
         home = counts.index[counts.to_numpy() == counts.min()].min()
         best = frame[frame["home"] == home].sort_values(["bin", "item"], kind="stable")
-        offset = best.groupby("bin")["length"].cumsum() - best["length"]
-        return pd.DataFrame({"item": best["item"], "sequence_id": best["shard"] * (1 << 24) + best["bin"], "offset": offset.astype("int64")})
+        by_bin = best.groupby("bin")["length"]
+        sequence = (turn << 56) + best["shard"] * (1 << 24) + best["bin"]
+        offset = (by_bin.cumsum() - best["length"]).astype("int64")
+        return pd.DataFrame({"item": best["item"], "length": best["length"], "sequence_id": sequence, "offset": offset, "fill": by_bin.transform("sum")})
 
-    packed = rows.groupBy("shard").applyInPandas(best_elite, "item bigint, sequence_id bigint, offset bigint")
-    return whole.union(packed)
+    return rows.groupBy("shard").applyInPandas(best_elite, "item bigint, length int, sequence_id bigint, offset bigint, fill bigint")
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
