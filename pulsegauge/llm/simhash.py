@@ -93,7 +93,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """Component of every row: ``doc_id``, the row key, ``fp`` and ``component_id``.
+    """Component of every row: ``doc_id``, the row key, ``fp``, ``root`` (the component's smallest fingerprint
+    of the links) and ``component_id``.
 
     ``component_id`` is the smallest id among all documents reachable over links, its own included. Null
     and empty texts have fingerprint zero and link like others; repeated rows are one more member each;
@@ -104,8 +105,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     roots = components(links(prints, radius))
     placed = prints.join(roots.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = placed.join(smallest, "root").select("fp", "component_id")
-    return rows.join(by_print, "fp").select("doc_id", *KEY, "fp", "component_id")
+    by_print = placed.join(smallest, "root").select("fp", "root", "component_id")
+    return rows.join(by_print, "fp").select("doc_id", *KEY, "fp", "root", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -116,5 +117,4 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) ->
     """``docs`` with one row of each component: of its smallest id, then of the smallest key."""
     grouped = near_duplicates(docs, shingle, radius)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", *KEY))
-    # components whose ids are all null are told apart by their prints' component id being null
-    return keep_rows(docs, grouped.groupBy("component_id").agg(first.alias("first")).select("first.*"))
+    return keep_rows(docs, grouped.groupBy("root").agg(first.alias("first")).select("first.*"))

@@ -156,7 +156,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, learn, labelled: int = LA
     spark = docs.sparkSession
     ids = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    texts = docs.select("doc_id", "text").filter(learn(F.col("doc_id"))).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", "text").filter(learn(F.col("doc_id"))).join(F.broadcast(chosen), "doc_id")
+    # of documents that share an id, always the same one
+    texts = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("one")).select("doc_id", "one.text", "one.toxic")
     texts.persist()
     totals = {r["toxic"]: r["n"] for r in texts.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)

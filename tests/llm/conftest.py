@@ -19,6 +19,7 @@ def odd_docs(spark):  # noqa: F811
         (3, "", "de", "b", 0), (4, None, None, None, None), (None, "no id here", "fr", "a", 5),
         (None, None, None, None, None), (5, LONG, "en", "a", 9), (6, LONG + " more", None, "c", 9),
         (7, " \t\n ", "de", "", 4), (8, "ÉTÉ ß \x1f x y\n\n\nz  w", "fr", "a", 3), (9, "x", "de", "z", 1),
+        (None, "another text without an id, of other words", "fr", "c", 7),
     ]
     extra = spark.createDataFrame([(*r, i, -1, "e") for i, r in enumerate(rows)], DOCS + ", row int, start int, `odd name.x` string")
     return extra.repartition(3)

@@ -88,6 +88,7 @@ def test_simhash_odd_rows(spark, odd_docs, no_docs):
     kept = simhash.drop_near_duplicates(odd_docs)
     assert kept.columns == odd_docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
+    assert ids.count(None) == 2  # two texts without ids, unlike all others
     assert ids.count(1) == 1 and 3 in ids and 4 not in ids and len({5, 6} & set(ids)) == 1
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.drop_near_duplicates(no_docs).count() == 0
 
