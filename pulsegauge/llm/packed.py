@@ -185,7 +185,9 @@ def read_packed(manifest: DataFrame) -> DataFrame:
 
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one small row per file
     files = manifest.withColumn("before", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)))
-    dealt = files.repartition("part", "path").select("path", "before")
+    # a number of its own, as adaptive execution would gather these few small rows, and so all files, in one task
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = files.repartition(tasks, "part", "path").select("path", "before")
     return dealt.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
