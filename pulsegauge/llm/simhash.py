@@ -63,7 +63,10 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     if radius < 0 or radius % 2:
         raise ValueError("the radius must be an even number of bits")
     patterns = F.array(*(F.lit(m).cast("bigint") for m in _ball(radius // 2)))
-    variants = prints.select("fp", F.explode(F.transform(patterns, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
+    # a number of its own: fingerprints are few bytes, which adaptive execution would gather in few tasks before they multiply
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = prints.select("fp").repartition(tasks, "fp")
+    variants = spread.select("fp", F.explode(F.transform(patterns, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
     members = variants.groupBy("variant").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("n"))
     shared = members.filter("n > 1")
     # most shared variants have two members, known by their ends; only the others go back for the rest
@@ -105,7 +108,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     roots = components(links(prints, radius))
     placed = prints.join(roots.toDF("fp", "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = placed.join(smallest, "root").select("fp", "root", "component_id")
+    # stored, so that the join has plain shuffles on both sides and adaptive execution can split a group of copies
+    by_print = stored(placed.join(smallest, "root").select("fp", "root", "component_id"), "components")
     return rows.join(by_print, "fp").select("doc_id", *KEY, "fp", "root", "component_id")
 
 
