@@ -67,6 +67,8 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     units = stored(unit_digests(docs), "units")
     first = F.min(F.struct(*KEY, "unit"))
     earliest = units.groupBy(*DIGEST).agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1").select(*DIGEST, "first")
+    # stored, so that the join has plain shuffles on both sides and adaptive execution can split a common digest
+    earliest = stored(earliest, "repeated")
     later = units.join(earliest, list(DIGEST)).filter(F.struct(*KEY, "unit") != F.col("first"))
     return later.groupBy(*KEY).agg(F.collect_set("unit").alias("units"))
 
