@@ -9,15 +9,18 @@ import types
 import unicodedata
 from array import array
 
-#: Pieces remembered per worker and table (about 200 bytes each); a full table is emptied, so memory stays bounded.
-PIECES = 1_000_000
+#: Pieces remembered per worker and table (about 200 bytes each), twice: a full table becomes the old one, from which
+#: pieces that are met again return, and the old one goes. So memory stays bounded and frequent pieces stay known.
+PIECES = 350_000
 #: Words on which the direct way is compared with the library's own before it is used.
 PROBES = ("the", "Straße", "ÉTÉ", "naïve", "Zürich", "ПРИВЕТ", "日本語", "ſ", "ﬁn", "İstanbul", "ΣΑΣ", "ñandú", "Ǆ")
 # byte-level vocabularies write a byte as its Latin-1 character if that is visible, and the others in order from U+0100
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
 _BYTE_NAMES = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
-_ODD_SPACE = re.compile(r"[^\S \n]")
-_DOUBLED = re.compile(r"[ \n]{2}|^ |[ \n]\Z")
+# white space beside the space and the line end, first what ASCII has of it
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_ASCII_SPACES = [c for c in _SPACES if c.isascii()]
+_DOUBLED = ("  ", " \n", "\n ", "\n\n")
 _UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
 
@@ -31,9 +34,13 @@ class _Pieces(dict):
     def __init__(self, encode, encode_word, space: str):
         super().__init__()
         self._encode, self._encode_word, self._space = encode, encode_word, space
+        self._old = {}
 
     def __missing__(self, piece: str) -> bytes:
-        if piece.isalpha():
+        ids = self._old.get(piece)
+        if ids is not None:
+            pass
+        elif piece.isalpha():
             ids = self._encode_word(self._space, piece)
         elif piece[-1:] in (",", ".") and piece[-2:-1].isalpha():
             ids = self[piece[:-1]] + self._encode(piece[-1])
@@ -42,6 +49,7 @@ class _Pieces(dict):
         else:
             ids = self._encode(self._space + piece) if piece else b""
         if len(self) >= PIECES:
+            self._old = dict(self)
             self.clear()
         self[piece] = ids
         return ids
@@ -98,9 +106,10 @@ class Encoder:
             return b""
         if self._kind == "dropped":
             return b"".join(map(self._later.__getitem__, text.replace("\n", " ").split(" ")))
-        if self._kind == "unknown" or _ODD_SPACE.search(text):
+        odd = _ASCII_SPACES if text.isascii() else _SPACES
+        if self._kind == "unknown" or any(c in text for c in odd):
             return self._direct(text)
-        if _DOUBLED.search(text):
+        if text[0] == " " or text[-1] in " \n" or any(pair in text for pair in _DOUBLED):
             return b"".join(map(self._first.__getitem__, _UNIT.findall(text)))
         first, *rest = text.replace("\n", " \n").split(" ")
         return b"".join([self._first[first] if first else b"", *map(self._later.__getitem__, rest)])
