@@ -11,7 +11,7 @@ from array import array
 
 #: Pieces remembered per worker and table (about 200 bytes each), twice: a full table becomes the old one, from which
 #: pieces that are met again return, and the old one goes. So memory stays bounded and frequent pieces stay known.
-PIECES = 350_000
+PIECES = 450_000
 #: Words on which the direct way is compared with the library's own before it is used.
 PROBES = ("the", "Straße", "ÉTÉ", "naïve", "Zürich", "ПРИВЕТ", "日本語", "ſ", "ﬁn", "İstanbul", "ΣΑΣ", "ñandú", "Ǆ")
 # byte-level vocabularies write a byte as its Latin-1 character if that is visible, and the others in order from U+0100
