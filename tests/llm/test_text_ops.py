@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulsegauge.llm import language, lines, mixing, simhash, toxicity
+from pulsegauge.llm import language, lines, minhash, mixing, simhash, toxicity
 from pulsegauge.llm.queries import LLM_ORACLES, LLM_QUERIES
 from tests import oracle
 from tests.llm.conftest import DOCS, SF_DIR
@@ -93,6 +93,44 @@ def test_simhash_odd_rows(spark, odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.drop_near_duplicates(no_docs).count() == 0
 
 
+def brute_jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_stage_drops_similar_texts(spark):
+    """Later copies of similarity 0.8 to 0.95 go; copies below that and texts around one long passage stay."""
+    rng = np.random.default_rng(8)
+    word = lambda: "w" + str(rng.integers(1 << 40))
+    texts, gone = [], set()
+    passage = " ".join(word() for _ in range(120))
+    for i in range(40):
+        base = [word() for _ in range(200 + 3 * i)]
+        copies = []
+        for edits in (2, 4, 20):
+            copy = list(base)
+            for at in rng.choice(len(base), edits, replace=False):
+                copy[at] = word()
+            copies.append(" ".join(copy))
+        for text in (" ".join(base), *copies):
+            if any(brute_jaccard(x, text) >= 0.8 for x in (" ".join(base), *copies) if x != text and x in texts):
+                gone.add(len(texts))
+            texts.append(text)
+        texts.append(f"{passage} {' '.join(word() for _ in range(60))}")
+    assert len(gone) >= 60
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF_DIR)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - gone
+
+
+def test_similar_odd_rows(odd_docs, no_docs):
+    kept = minhash.drop_similar(odd_docs)
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert kept.columns == odd_docs.columns and {3, 4, 7} <= set(ids) and len({5, 6} & set(ids)) == 1 and 5 in ids
+    assert minhash.drop_similar(no_docs).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(LLM_ORACLES))
 def test_equals_sql(spark, name):
     columns, got = oracle.spark_rows(LLM_QUERIES[name](spark, SF_DIR))
