@@ -165,6 +165,21 @@ def test_pasted_passages_are_cut(spark):
     assert {r["doc_id"] for r in lines.drop_repeated_lines(docs).collect()} == {0, 1, 2, 3}
 
 
+def test_line_dedup_stage_cuts_runs_inside_sentences(spark):
+    """Runs of 51 to 130 words that start and end inside a sentence go to their true ends; all other words stay."""
+    rng = np.random.default_rng(4)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    rows, want = [], {}
+    for n in range(51, 131, 4):
+        first, head, tail = words(300), words(20), words(30)
+        at = int(rng.integers(0, 300 - n))
+        rows += [(len(rows), " ".join(first)), (len(rows) + 1, " ".join(head + first[at : at + n] + tail))]
+        want |= {len(rows) - 2: " ".join(first), len(rows) - 1: " ".join(head + tail)}
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+    kept = corpus_pipeline.cut_repeated_lines(spark, docs, SF_DIR)
+    assert kept.columns == docs.columns and {r["doc_id"]: r["text"] for r in kept.collect()} == want
+
+
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
