@@ -180,6 +180,16 @@ def test_line_dedup_stage_cuts_runs_inside_sentences(spark):
     assert kept.columns == docs.columns and {r["doc_id"]: r["text"] for r in kept.collect()} == want
 
 
+def test_line_dedup_stage_cuts_short_lines(spark, odd_docs, no_docs):
+    """A later whole line goes at any length; the same words inside a line stay."""
+    texts = ["Read more\nfirst own line", "second own line\n  read  More\n\nits end", "Read more", "we Read more here"]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.cut_repeated_lines(spark, docs, SF_DIR).collect()}
+    assert got == {0: texts[0], 1: "second own line\nits end", 3: texts[3]}
+    assert corpus_pipeline.cut_repeated_lines(spark, odd_docs, SF_DIR).columns == odd_docs.columns
+    assert corpus_pipeline.cut_repeated_lines(spark, no_docs, SF_DIR).count() == 0
+
+
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
