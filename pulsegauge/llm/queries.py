@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegauge.llm import language, lengths, lines, mixing, packed, packing, simhash, toxicity, vectors
+from pulsegauge.llm import language, lengths, lines, merkle, mixing, packed, packing, resampling, simhash, toxicity, vectors
 from pulsegauge.sources.tables import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -77,11 +77,27 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(docs).taken().select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = merkle.manifest(table(spark, sf_dir, "documents"), tampered)
+    shown = F.coalesce("tampered_leaf", "leaf")
+    found = found.withColumn("folded_root", merkle.folded(shown, F.col("path")))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_simhash, op3_packing, op4_exact_top_k, op5_neighbours,
         op6_packed_ids, op7_language, op8_token_counts, op9_line_dedup, op10_mixing,
+        op11_merkle, op12_resampling,
     )
 }
 
@@ -127,4 +143,50 @@ LLM_ORACLES: dict[str, str] = {
         )
         SELECT kept.doc_id, clean_text, coalesce(n, 0) AS removed_stretches, coalesce(listed, '') AS removed_spans
         FROM kept LEFT JOIN cut ON kept.doc_id = cut.doc_id""",
+    "op11_merkle": r"""
+        WITH RECURSIVE docs AS (
+            SELECT doc_id, source, text, concat(
+                coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head
+            FROM documents
+        ), leaves AS (
+            SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                   sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS forged,
+                   list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+                       lambda crc, c: list_reduce(list_prepend(xor(crc, c), [0, 0, 0, 0, 0, 0, 0, 0]),
+                           lambda x, y: xor(x // 2, 3988292384 * (x % 2)))) AS crc
+            FROM docs
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS spot FROM leaves
+        ), low AS (
+            SELECT source, 0 AS level, list(leaf ORDER BY spot) AS nodes FROM placed GROUP BY source
+            UNION ALL
+            SELECT source, level + 1, list_transform(range((len(nodes) + 15) // 16), lambda i: sha256(array_to_string(nodes[i * 16 + 1:i * 16 + 16], '')))
+            FROM low WHERE len(nodes) > 1
+        ), subroots AS (
+            SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM low WHERE len(nodes) = 1
+        ), high AS (
+            SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subroots
+            UNION ALL
+            SELECT level + 1, list_transform(range((len(nodes) + 15) // 16), lambda i: sha256(array_to_string(nodes[i * 16 + 1:i * 16 + 16], '')))
+            FROM high WHERE len(nodes) > 1
+        ), steps AS (
+            SELECT doc_id, leaf, 0 AS tree, level, nodes, spot // CAST(16 ** level AS BIGINT) AS i
+            FROM placed JOIN low ON placed.source IS NOT DISTINCT FROM low.source WHERE len(nodes) > 1
+            UNION ALL
+            SELECT doc_id, leaf, 1, level, nodes, place // CAST(16 ** level AS BIGINT)
+            FROM placed JOIN subroots ON placed.source IS NOT DISTINCT FROM subroots.source CROSS JOIN high WHERE len(nodes) > 1
+        ), sides AS (
+            SELECT doc_id, leaf, list(array_to_string(nodes[i // 16 * 16 + 1:i], '') || '|' || array_to_string(nodes[i + 2:i // 16 * 16 + 16], '')
+                   ORDER BY tree, level) AS path
+            FROM steps GROUP BY doc_id, leaf
+        ), folded AS (
+            SELECT p.doc_id, p.leaf, subroot, (SELECT nodes[1] FROM high WHERE len(nodes) = 1) AS root,
+                   sha256(replace(array_to_string(coalesce(path, []), ''), '|', '')) AS proof_sha256,
+                   list_reduce(list_prepend(CASE WHEN (4294967295 - crc) % 5 = 0 THEN forged ELSE p.leaf END, coalesce(path, [])),
+                       lambda h, s: sha256(split_part(s, '|', 1) || h || split_part(s, '|', 2))) AS folded_root
+            FROM placed p JOIN subroots ON p.source IS NOT DISTINCT FROM subroots.source
+            LEFT JOIN sides ON p.doc_id = sides.doc_id AND p.leaf = sides.leaf
+        )
+        SELECT *, folded_root = root AS verified FROM folded""",
 }

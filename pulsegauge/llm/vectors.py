@@ -65,7 +65,9 @@ def blockwise_search(vectors: DataFrame, divisor: int, k: int, search: Search, s
     dealt = lambda count: F.pmod(F.xxhash64("row"), F.lit(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = vectors.select("row", "vec_id", "x", dealt(blocks).alias("block")).select("*", every(query_blocks).alias("query_block"))
-    right = queries.select("row", "vec_id", "x", dealt(query_blocks).alias("query_block")).select("*", every(blocks).alias("block"))
+    # columns of its own: with ids shared by both sides of the cogroup, column pruning would take a side's columns away
+    own = [F.col(a).alias(b) for a, b in (("row", "query_row"), ("vec_id", "query_id"), ("x", "query_x"))]
+    right = queries.select(*own, dealt(query_blocks).alias("query_block")).select("*", every(blocks).alias("block"))
     names = ["query_row", "query_id", "vec_id", "score"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64() if score == "bigint" else pa.float64()]
 
@@ -73,6 +75,7 @@ def blockwise_search(vectors: DataFrame, divisor: int, k: int, search: Search, s
         parts = [pa.table([pa.array([], t) for t in types], names)]
         if candidates.num_rows and asked.num_rows:
             known = _matrices(candidates)
+            asked = asked.select(["query_row", "query_id", "query_x"]).rename_columns(["row", "vec_id", "x"])
             for size, (rows, ids, x) in _matrices(asked).items():
                 if size in known:
                     columns = search(rows, ids, x, *known[size], k)

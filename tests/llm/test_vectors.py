@@ -60,6 +60,14 @@ def test_neighbours_odd_rows(odd_vectors):
     assert len({(r["query_id"], r["vec_id"]) for r in got} & {(a, c) for a, _, c, _ in want}) / len({(a, c) for a, _, c, _ in want}) > 0.9
 
 
+@pytest.mark.parametrize("search", [vectors.exact_top_k, vectors.approximate_neighbours])
+def test_counts_joins_and_projections(odd_vectors, search):
+    found = search(odd_vectors)
+    n = len(found.collect())
+    assert n and found.count() == n == found.select("query_id").count()
+    assert found.join(odd_vectors.select("vec_id", "row").dropDuplicates(["vec_id"]), "vec_id").count() == n
+
+
 def test_empty_tables(odd_vectors):
     assert vectors.exact_top_k(odd_vectors.limit(0)).count() == 0
     assert vectors.approximate_neighbours(odd_vectors.filter("vec_id = 500")).count() == 0
