@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegauge.llm import language, lengths, lines, merkle, mixing, packed, packing, resampling, simhash, toxicity, vectors
+from pulsegauge.llm import jaccard, language, lengths, lines, merkle, mixing, packed, packing, resampling, simhash, toxicity, vectors
 from pulsegauge.sources.tables import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -92,12 +92,16 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_sets(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_simhash, op3_packing, op4_exact_top_k, op5_neighbours,
         op6_packed_ids, op7_language, op8_token_counts, op9_line_dedup, op10_mixing,
-        op11_merkle, op12_resampling,
+        op11_merkle, op12_resampling, op13_jaccard,
     )
 }
 
@@ -189,4 +193,31 @@ LLM_ORACLES: dict[str, str] = {
             LEFT JOIN sides ON p.doc_id = sides.doc_id AND p.leaf = sides.leaf
         )
         SELECT *, folded_root = root AS verified FROM folded""",
+    "op13_jaccard": r"""
+        WITH RECURSIVE worded AS (
+            SELECT row_number() OVER () AS id, doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+            FROM documents
+        ), sets AS (
+            SELECT id, doc_id, list_sort(list_distinct(CASE WHEN len(words) BETWEEN 1 AND 3 THEN [array_to_string(words, ' ')]
+                ELSE list_transform(range(len(words) - 2), lambda i: array_to_string(words[i + 1:i + 3], ' ')) END)) AS items
+            FROM worded
+        ), classes AS (
+            SELECT items, min(id) AS class FROM sets WHERE len(items) > 0 GROUP BY items
+        ), shingles AS (
+            SELECT class, len(items) AS n, unnest(items) AS item FROM classes
+        ), links AS (
+            SELECT a.class AS x, b.class AS y FROM shingles a JOIN shingles b ON a.item = b.item AND a.class <> b.class
+            GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+        ), reached AS (
+            SELECT class AS x, class AS y FROM classes
+            UNION
+            SELECT reached.x, links.y FROM reached JOIN links ON reached.y = links.x
+        ), members AS (
+            SELECT class, sets.id, sets.doc_id FROM classes JOIN sets USING (items)
+        ), smallest AS (
+            SELECT x AS class, min(doc_id) AS component_id FROM reached JOIN members ON members.class = reached.y GROUP BY x
+        )
+        SELECT sets.doc_id, CAST(len(items) AS BIGINT) AS n_shingles, CASE WHEN len(items) = 0 THEN sets.doc_id ELSE component_id END AS component_id
+        FROM sets LEFT JOIN members ON members.id = sets.id LEFT JOIN smallest ON smallest.class = members.class""",
 }
