@@ -29,6 +29,8 @@ STARS = 2
 MEMBERS, PARTNERS = 512, 256
 #: Positions of one block of an index list.
 POSITIONS = 8
+#: Words of 64 bits in a set's parity sketch.
+SKETCH = tuple(f"s{i}" for i in range(4))
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,6 +48,15 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(found)
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """A bit per hash cell: whether the set has an odd number of members there.
+
+    Members common to two sets cancel out, so the sketches differ in no more bits than the sets do in members.
+    """
+    odd = np.bincount((found >> np.uint64(40)).astype(np.int64) % (64 * len(SKETCH)), minlength=64 * len(SKETCH)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def needed(n: Column, m: Column, percent: int) -> Column:
     """Smallest intersection of two sets of these sizes that are similar enough."""
     return F.ceil((n + m) * F.lit(percent) / F.lit(100 + percent) - 1e-9)
@@ -76,11 +87,11 @@ def shingle_levels(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, levels: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """``doc_id``, the row key, ``code`` (128-bit digest of the set), ``n`` (its size) and ``prefix`` of every row."""
+    """``doc_id``, the row key, ``code`` (128-bit digest of the set), ``n`` (its size), its sketch and ``prefix`` of every row."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, sizes, prefixes = [], [], []
+            codes, sizes, prefixes, sketches = [], [], [], [np.zeros((0, len(SKETCH)), np.int64)]
             for text in batch.column(3):
                 found = shingle_set(text.as_py(), shingle)
                 n = len(found)
@@ -88,13 +99,16 @@ def set_rows(docs: DataFrame, levels: np.ndarray, shingle: int, percent: int) ->
                 order = np.lexsort((found, levels[found % COUNTERS]))[:first]
                 codes.append(xxhash.xxh3_128_digest(found.tobytes()))
                 sizes.append(n)
+                sketches.append(parities(found)[None])
                 prefixes.append(found[order].view(np.int64))
             column = pa.array(prefixes, pa.list_(pa.int64()))
-            yield pa.record_batch([*batch.columns[:3], pa.array(codes, pa.binary()), pa.array(sizes, pa.int64()), column], names)
+            words = map(pa.array, np.concatenate(sketches).T)
+            yield pa.record_batch([*batch.columns[:3], pa.array(codes, pa.binary()), pa.array(sizes, pa.int64()), *words, column], names)
 
-    names = ["doc_id", *KEY, "code", "n", "prefix"]
+    names = ["doc_id", *KEY, "code", "n", *SKETCH, "prefix"]
+    words = ", ".join(f"{c} bigint" for c in SKETCH)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *row_key(), "text")
-    return rows.mapInArrow(cut, f"doc_id bigint, {KEY[0]} bigint, {KEY[1]} bigint, code binary, n bigint, prefix array<bigint>")
+    return rows.mapInArrow(cut, f"doc_id bigint, {KEY[0]} bigint, {KEY[1]} bigint, code binary, n bigint, {words}, prefix array<bigint>")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -115,11 +129,26 @@ def _numbers(column: pa.Array) -> Iterator[np.ndarray]:
     return (flat[low:high].view(np.uint64) for low, high in zip(ends[:-1], ends[1:]))
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``first``, ``cid``, ``both`` (size of the intersection), ``minus`` (only in first) and ``plus`` (only in cid) of pairs.
+def _beside_first(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs with the columns that ``known`` has for their ``first``; a pivot with many partners is joined by copies,
+    one per ``PARTNERS`` of them, so that its partners spread over tasks."""
+    copies = pairs.groupBy("first").agg(F.ceil(F.count("*") / PARTNERS).alias("copies"))
+    dealt = pairs.join(copies, "first").withColumn("copy", F.pmod(F.xxhash64("cid"), F.col("copies"))).drop("copies")
+    every = known.join(copies, "first").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    return dealt.join(every, ["first", "copy"]).drop("copy")
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (``first``, ``cid``) whose sketches do not rule the link out: their sets differ in at least as many members
+    as their sketches do in bits, and by the sizes at most in n + m - 2 * needed."""
+    own = classes.select("cid", "n", *SKETCH)
+    met = _beside_first(pairs, own.toDF("first", "m", *(f"{c}_first" for c in SKETCH))).join(own, "cid")
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_first"))) for c in SKETCH[1:]), F.bit_count(F.col(SKETCH[0]).bitwiseXOR(F.col(f"{SKETCH[0]}_first"))))
+    return stored(met.filter(apart <= F.col("n") + F.col("m") - 2 * needed(F.col("n"), F.col("m"), percent)).select("first", "cid"), "jaccard-plausible")
 
-    A pivot with many partners is joined by copies of its set, one per ``PARTNERS`` of them.
-    """
+
+def _compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """``first``, ``cid``, ``both`` (size of the intersection), ``minus`` (only in first) and ``plus`` (only in cid) of pairs."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,11 +163,8 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (minus, plus)]
             yield pa.record_batch([*batch.columns[:2], pa.array(both, pa.int64()), *lists], ["first", "cid", "both", "minus", "plus"])
 
-    copies = pairs.groupBy("first").agg(F.ceil(F.count("*") / PARTNERS).alias("copies"))
-    pivots = copies.join(sets.toDF("first", "a"), "first").select("first", "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "a")
-    dealt = pairs.join(copies, "first").withColumn("copy", F.pmod(F.xxhash64("cid"), F.col("copies")))
-    met = stored(dealt.select("first", "copy", "cid"), "jaccard-dealt").join(stored(pivots.drop("copies"), "jaccard-pivots"), ["first", "copy"])
-    met = met.join(sets.toDF("cid", "b"), "cid").select("first", "cid", "a", "b")
+    sets = _sets(docs, classes, pairs.select("cid").union(pairs.select("first")).distinct(), shingle)
+    met = _beside_first(pairs, sets.toDF("first", "a")).join(sets.toDF("cid", "b"), "cid").select("first", "cid", "a", "b")
     return stored(met.mapInArrow(compare, "first bigint, cid bigint, both bigint, minus array<bigint>, plus array<bigint>"), "jaccard-compared")
 
 
@@ -210,7 +236,7 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     if not 1 <= percent <= 100:
         raise ValueError("the similarity is a percentage from 1 to 100")
     rows = stored(set_rows(docs, shingle_levels(docs, shingle), shingle, percent), "jaccard-rows")
-    one = [F.min("doc_id").alias("first_id"), F.min(F.struct(*KEY)).alias("key"), F.first("n").alias("n"), F.first("prefix").alias("prefix")]
+    one = [F.min("doc_id").alias("first_id"), F.min(F.struct(*KEY)).alias("key"), *(F.first(c).alias(c) for c in ("n", *SKETCH, "prefix"))]
     classes = stored(rows.filter("n > 0").groupBy("code").agg(*one).withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
     # numbered by the store; spread over tasks again, as a class multiplies into its prefix
     index = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -222,12 +248,11 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
         known = compared.join(sizes, "cid").join(sizes.toDF("first", "m"), "first")
         return known.filter(F.col("both") >= needed(F.col("n"), F.col("m"), percent)).select("first", "cid")
 
-    sets = _sets(docs, classes, live.select("cid").distinct(), shingle)
     for _ in range(STARS):
         p = F.col("pivot")
         fit = (F.col("label") != p["label"]) & may_link(F.col("n"), F.col("pos"), p["n"], p["pos"], percent)
         pairs = stored(live.filter(fit).select(p["cid"].alias("first"), "cid").distinct(), "jaccard-pairs")
-        compared = _compared(pairs, sets)
+        compared = _compared(_plausible(pairs, classes, percent), docs, classes, shingle)
         answers = compared if answers is None else answers.union(compared)
         found = linked(compared)
         links = stored(found if links is None else links.union(found), "jaccard-links")
@@ -237,7 +262,7 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
         named = rest.join(labels.toDF("cid", "root"), "cid", "left")
         live = _lists(named.select("token", "cid", "n", "pos", F.coalesce("root", "cid").alias("label")))
     derived, others = _derived(stored(_block_pairs(live, percent), "jaccard-block-pairs"), answers, sizes, percent)
-    links = links.union(derived).union(linked(_compared(others, sets)))
+    links = links.union(derived).union(linked(_compared(_plausible(others, classes, percent), docs, classes, shingle)))
     roots = components(stored(links, "jaccard-links").toDF("a", "b"))
     named = stored(classes.select("code", "cid", "first_id").join(roots.toDF("cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "jaccard-named")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
