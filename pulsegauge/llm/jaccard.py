@@ -29,6 +29,8 @@ STARS = 2
 MEMBERS, PARTNERS = 512, 256
 #: Positions of one block of an index list.
 POSITIONS = 8
+#: Keys of 24 bytes that are sent to all tasks to pick texts by.
+SENT = 1_000_000
 #: Words of 64 bits in a set's parity sketch.
 SKETCH = tuple(f"s{i}" for i in range(4))
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
@@ -120,7 +122,9 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, shingle: int)
             yield pa.record_batch([batch.column(0), pa.array(items, pa.list_(pa.int64()))], ["cid", "items"])
 
     chosen = stored(classes.join(wanted, "cid", "left_semi").select("cid", *(F.col("key")[k].alias(k) for k in KEY)), "jaccard-wanted")
-    texts = docs.select(*row_key(), "text").join(chosen, list(KEY)).groupBy(*KEY, "cid").agg(F.first("text").alias("text"))
+    # three numbers a row, so the count bounds the bytes sent; beyond it texts and keys are shuffled
+    small = F.broadcast(chosen) if chosen.count() <= SENT else chosen
+    texts = docs.select(*row_key(), "text").join(small, list(KEY)).groupBy(*KEY, "cid").agg(F.first("text").alias("text"))
     return stored(texts.select("cid", "text").mapInArrow(cut, "cid bigint, items array<bigint>"), "jaccard-sets")
 
 

@@ -67,6 +67,7 @@ def test_near_copies_equal_brute_force(spark, stars, members, monkeypatch):
     monkeypatch.setattr(jaccard, "STARS", stars)
     monkeypatch.setattr(jaccard, "MEMBERS", members)
     monkeypatch.setattr(jaccard, "PARTNERS", 4)
+    monkeypatch.setattr(jaccard, "SENT", 1_000_000 if stars == 2 else 0)
     rows = list(enumerate(near_copies(stars, 25, 150)))
     want = brute(rows)
     assert found(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)) == want
