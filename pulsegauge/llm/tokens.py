@@ -28,7 +28,8 @@ class _Pieces(dict):
     """Piece of text -> its ids as little-endian unsigned 32-bit bytes, filled on demand.
 
     ``space`` is put before each piece that does not begin with a newline. A comma or full stop after a
-    letter is a pre-token of its own in the vocabularies used, so such pieces share the ids of the rest.
+    letter is a pre-token of its own in the vocabularies used, so such pieces share the ids of the rest, unless
+    the vocabulary's normaliser takes the letter apart: a mark at its end would join the sign.
     """
 
     def __init__(self, encode, encode_word, space: str):
@@ -42,7 +43,7 @@ class _Pieces(dict):
             pass
         elif piece.isalpha():
             ids = self._encode_word(self._space, piece)
-        elif piece[-1:] in (",", ".") and piece[-2:-1].isalpha():
+        elif piece[-1:] in (",", ".") and piece[-2:-1].isalpha() and unicodedata.normalize("NFC", piece[-2]).lower().isalpha():
             ids = self[piece[:-1]] + self._encode(piece[-1])
         elif piece.startswith("\n"):
             ids = self._encode(piece)
@@ -61,7 +62,7 @@ class Encoder:
     The text is cut where the vocabulary's own pre-tokenizer always cuts: before a space or line end
     that follows other text. Byte-level vocabularies keep the space with the next piece; vocabularies
     with word ends drop white space. Texts with other white space, or an unknown kind of vocabulary, are
-    encoded in one go. Strings of special tokens are ordinary text.
+    encoded in one go. So are texts that hold the string of an added token, which the library gives its own id.
     """
 
     def __init__(self, path: str):
@@ -69,7 +70,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._added = re.compile("|".join(added), re.IGNORECASE) if added else None
         self.vocabulary = self._tokenizer.get_vocab_size(with_added_tokens=True)
         word_end = getattr(self._tokenizer.model, "end_of_word_suffix", None)
         byte_level = type(self._tokenizer.pre_tokenizer).__name__ == "ByteLevel"
@@ -104,6 +106,8 @@ class Encoder:
         """The ids of ``text`` as little-endian unsigned 32-bit bytes; a null text is empty."""
         if not text:
             return b""
+        if self._added and self._added.search(text):
+            return self._direct(text)
         if self._kind == "dropped":
             return b"".join(map(self._later.__getitem__, text.replace("\n", " ").split(" ")))
         odd = _ASCII_SPACES if text.isascii() else _SPACES
