@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegauge.llm.tokens import encoder
+from pulsegauge.sources.sinks import stored
 
 #: Lengths per cell of the two-level sums.
 CELL = 1024
@@ -41,6 +42,7 @@ def length_table(histogram: DataFrame) -> DataFrame:
     ``documents_upto``: documents of at most L tokens. Sums run over cells of lengths first and inside
     a cell second, so no task holds the whole histogram.
     """
+    histogram = stored(histogram, "lengths")  # read twice below, and texts are encoded once
     rows = histogram.withColumns({"cell": F.floor(F.col("n_tokens") / CELL), "tokens": F.col("n_tokens") * F.col("documents")})
     cells = rows.groupBy("cell").agg(F.sum("documents").alias("cell_documents"), F.sum("tokens").alias("cell_tokens"))
     after = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
