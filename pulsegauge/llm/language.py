@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,10 +128,10 @@ def train_language_model(learn: DataFrame, per_language: int = PER_LANGUAGE) ->
     the driver gets one row per language and one per SVM.
     """
     rows = learn.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()}
     if not counts:
         return LanguageModel([], {})
-    # the hash share first leaves about twice the rows wanted, so the exact choice sorts few
+    # of distinct texts, the hash share first leaves about twice the rows wanted, so the exact choice sorts few
     shares = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2 * per_language / n))))
     near = rows.filter(F.pmod("h", F.lit(1 << 30)) < shares[F.col("lang")] * (1 << 30))
     chosen = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
@@ -179,13 +180,15 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     Texts that are null, empty or have no letter are ``und`` with score 0, as are all if the model learned
     no language. Rows are judged one by one: repeated rows come out equal, nothing is shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # as bytes that hold the class as well: executors need no copy of this package
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = cloudpickle.loads(shared.value)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                names, scores = shared.value.predict(part.column(1).to_pylist())
+                names, scores = known.predict(part.column(1).to_pylist())
                 yield pa.record_batch([part.column(0), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -215,11 +216,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     Texts that are null, empty or without a known term get the share of toxic ones among labelled documents
     without one; a model without labelled rows gives 0. Repeated rows come out equal; nothing is shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # as bytes that hold the class as well: executors need no copy of this package
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = cloudpickle.loads(shared.value)
         known = _Known({t: i for i, t in enumerate(model.vocabulary)})
         for batch in batches:
             judged = [model.judge(term_counts(t.as_py(), known)) for t in batch.column(1)]
