@@ -253,6 +253,8 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
         return known.filter(F.col("both") >= needed(F.col("n"), F.col("m"), percent)).select("first", "cid")
 
     for _ in range(STARS):
+        if live.isEmpty():
+            break
         p = F.col("pivot")
         fit = (F.col("label") != p["label"]) & may_link(F.col("n"), F.col("pos"), p["n"], p["pos"], percent)
         pairs = stored(live.filter(fit).select(p["cid"].alias("first"), "cid").distinct(), "jaccard-pairs")
@@ -265,10 +267,12 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
         rest = live.filter(F.col("cid") != p["cid"]).select("token", "cid", "n", "pos")
         named = rest.join(labels.toDF("cid", "root"), "cid", "left")
         live = _lists(named.select("token", "cid", "n", "pos", F.coalesce("root", "cid").alias("label")))
-    derived, others = _derived(stored(_block_pairs(live, percent), "jaccard-block-pairs"), answers, sizes, percent)
-    links = links.union(derived).union(linked(_compared(_plausible(others, classes, percent), docs, classes, shingle)))
-    roots = components(stored(links, "jaccard-links").toDF("a", "b"))
-    named = stored(classes.select("code", "cid", "first_id").join(roots.toDF("cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "jaccard-named")
+    if not live.isEmpty():
+        derived, others = _derived(stored(_block_pairs(live, percent), "jaccard-block-pairs"), answers, sizes, percent)
+        links = stored(links.union(derived).union(linked(_compared(_plausible(others, classes, percent), docs, classes, shingle))), "jaccard-links")
+        labels = components(links.toDF("a", "b"))
+    roots = sizes.select("cid", F.col("cid").alias("root")).limit(0) if labels is None else labels.toDF("cid", "root")
+    named = stored(classes.select("code", "cid", "first_id").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")), "jaccard-named")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     # stored, so that the join has plain shuffles on both sides and adaptive execution can split a group of copies
     placed = stored(named.join(smallest, "root").select("code", "component_id"), "jaccard-components")
