@@ -285,6 +285,8 @@ ORACLES: dict[str, str] = {
     "stream_percentile_anomalies": f"""WITH {EV}, {banded()} SELECT metric, event_us, value, window_count, lower_bound,
       upper_bound FROM p WHERE (value < lower_bound OR value > upper_bound) AND event_us <= {WATERMARK}""",
     "stream_ingest": f"""WITH {MESSAGES} SELECT coalesce(reason, metric) AS metric, count(*) AS rows FROM judged GROUP BY 1""",
+    "stream_progress": f"""WITH {MESSAGES} SELECT 0::BIGINT AS late_rows, count(*) AS consumed,
+      count(*) FILTER (reason IS NULL) AS valid, count(*) FILTER (reason IS NOT NULL) AS invalid FROM judged""",
     "stream_micro_batches": f"{WITH_Z} {FLAGGED_Z}",
     "stream_feed": f"{WITH_ZID} SELECT anomaly_id, metric, value, event_us FROM z ORDER BY event_us DESC, anomaly_id LIMIT 100",
     "stream_alerts": f"""{RECURSIVE_ZID}, {limiter(chr(39) * 2)} SELECT count(*) AS total_broadcasted,

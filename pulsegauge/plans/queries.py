@@ -16,7 +16,7 @@ from pulsegauge.plans.detection import newest_anomalies
 from pulsegauge.schema import ANOMALY_SCHEMA, events_from_table
 from pulsegauge.sources import files, kafka, sinks
 from pulsegauge.sources.tables import event_series, order_series, shipment_series, table
-from pulsegauge.streaming import jobs, stateful
+from pulsegauge.streaming import jobs, progress, stateful
 
 HOUR_US = 3600 * MICROS
 DAY_US = 24 * HOUR_US
@@ -635,6 +635,21 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(bad)
 
 
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the table of batch progress says of an ingest in many small batches, however many there are."""
+    root = sinks.scratch_dir(spark, "progress")
+    raw_messages(spark, sf_dir).select("raw").write.option("maxRecordsPerFile", 1_000_000).text(f"{root}/in")
+    stream = jobs.checked_stream(jobs.message_files(spark, f"{root}/in", GaugeConfig(max_files_per_trigger=1), "*.txt"))
+    with progress.ProgressLog(spark, f"{root}/log") as log:
+        handle = jobs.ingest_handler(f"{root}/events", f"{root}/bad")
+        query = jobs.start(stream, handle, f"{root}/checkpoint", available_now=True)
+        query.awaitTermination()
+        log.wait(query)
+    mine = progress.read_progress(spark, f"{root}/log").filter(F.col("query_id") == str(query.id))
+    counted = [F.coalesce(F.sum(F.col("observed")[f"ingest_{c}"]), F.lit(0)).cast("bigint").alias(c) for c in ("consumed", "valid", "invalid")]
+    return mine.agg(F.coalesce(F.sum("late_rows"), F.lit(0)).alias("late_rows"), *counted)
+
+
 def stream_micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection by micro-batch against the stored window, without keyed state."""
     root = sinks.scratch_dir(spark, "micro")
@@ -695,6 +710,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         alert_messages, topic_messages, file_events, csv_quoted_newlines, json_files, upload_report, upload_totals,
         result_store, result_by_id, retention_rewrite, event_store_range, stream_restarted,
         stream_window_stats, stream_arrival_scores, stream_percentile_anomalies, stream_ingest,
-        stream_micro_batches, stream_feed, stream_alerts, stream_dedupe,
+        stream_progress, stream_micro_batches, stream_feed, stream_alerts, stream_dedupe,
     )
 }

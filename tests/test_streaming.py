@@ -10,7 +10,8 @@ from pulsegauge.config import MICROS, GaugeConfig
 from pulsegauge.operators.detectors import PercentileDetector, ZScoreDetector
 from pulsegauge.operators.windows import window_stats
 from pulsegauge.sources import sinks
-from pulsegauge.streaming import jobs, stateful
+from pulsegauge.operators import reports
+from pulsegauge.streaming import jobs, progress, stateful
 from tests import brute
 
 BASE = 1_700_000_000 * MICROS
@@ -206,3 +207,39 @@ def test_micro_batches_of_far_times_read_their_own_days(spark, tmp_path, source,
     want = {r.event_id for r in detector.anomalies(stored.drop("batch_id"), WINDOW_US).join(second, "event_id", "left_semi").collect()}
     got = sinks.read_results(spark, str(tmp_path / "results"))
     assert {r.event_id for r in got.join(second, "event_id", "left_semi").collect()} == want
+
+
+def test_progress_log_keeps_every_batch_over_restarts(spark, tmp_path):
+    """More batches than a query remembers, in two runs from one checkpoint."""
+    folder, table = str(tmp_path / "in"), str(tmp_path / "progress")
+    good = '{"metric": "m", "timestamp": "2024-01-01T00:00:00Z", "value": 1}'
+    (tmp_path / "in").mkdir()
+    with progress.ProgressLog(spark, table, every=40) as log:
+        for start, stop in ((0, 70), (70, 115)):
+            for i in range(start, stop):
+                (tmp_path / "in" / f"{i:03d}.jsonl").write_text(f"{good}\n" * (1 + i % 3) + ("{bad\n" if i % 5 == 0 else ""))
+            checked = jobs.checked_stream(jobs.message_files(spark, folder, GaugeConfig(max_files_per_trigger=1)))
+            query = jobs.start(checked, lambda batch, _: batch.count(), str(tmp_path / "checkpoint"), available_now=True, name="ingest")
+            query.awaitTermination()
+            log.wait(query)
+    rows = progress.read_progress(spark, table)
+    assert sorted(r.batch_id for r in rows.collect()) == list(range(115))
+    total = progress.progress_totals(rows).collect()
+    sent, bad = sum(1 + i % 3 for i in range(115)), len(range(0, 115, 5))
+    assert [(r.name, r.batches, r.late_rows) for r in total] == [("ingest", 115, 0)]
+    assert (total[0].observed["ingest_valid"], total[0].observed["ingest_invalid"]) == (sent, bad)
+    newest = sorted(((r["at"], r.duration_ms) for r in rows.collect()), reverse=True)[:110]
+    empty = spark.createDataFrame([], "reason string, metric string")
+    summary = reports.processor_summary(empty, spark.createDataFrame([], "anomaly_id string"), durations=progress.batch_durations(rows), newest=110)
+    assert summary.first()["avg_processing_time_ms"] == pytest.approx(sum(d for _, d in newest) / 110, rel=0.02)
+
+
+def test_progress_log_repeated_batches_and_faults(spark, tmp_path):
+    path = str(tmp_path / "progress")
+    row = lambda run, batch, at, n: ("q", run, None, batch, at, n, 1.0, 0, {"c": float(n)})
+    spark.createDataFrame([row("a", 0, 1, 5), row("a", 1, 2, 6), row("b", 1, 3, 7)], progress.PROGRESS_SCHEMA).write.parquet(path)
+    got = progress.progress_totals(progress.read_progress(spark, path)).first()
+    assert (got.batches, got["rows"], got.observed) == (2, 12, {"c": 12.0})
+    assert progress.read_progress(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(ValueError):
+        progress.ProgressLog(spark, path, every=0)
