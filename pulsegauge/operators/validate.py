@@ -18,7 +18,9 @@ def checked_messages(messages: DataFrame, text: str = "raw") -> DataFrame:
 
     The message is parsed once as VARIANT, because a timestamp sent as a number and one sent as a
     string of digits follow different rules, and reading the field as a string hides which it was.
+    Of a repeated key the last value counts, which is a setting of the session.
     """
+    messages.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     names = ("metric", "timestamp", "value", "meta")
     doc = messages.withColumn("doc", F.try_parse_json(F.col(text)))
     field = lambda name: F.to_json(F.try_variant_get("doc", f"$.{name}", "variant"))

@@ -177,7 +177,8 @@ def micro_batch_handler(
 
     The batch is added to the raw table, and its events are then scored by the batch operators
     against the stored events of the last window; of the raw table only the days and metrics that the
-    batch's windows touch are read, so one event of a far-off time adds no more than its own days. A metric's work is thereby split over time slices
+    batch's windows touch are read, and of those only the stretch from the first window's start to the last
+    event, so one event of a far-off time adds no more than its own days. A metric's work is thereby split over time slices
     and not tied to the one task that owns its key. An event is judged with everything that had
     arrived by the end of its batch.
     """
@@ -190,9 +191,13 @@ def micro_batch_handler(
             append_events(batch, events_path, batch_id)
             day = lambda us: F.to_date(F.timestamp_micros(us))
             days = F.sequence(day(F.col("event_us") - window_us), day(F.col("event_us")))
-            touched = batch.select("metric", F.explode(days).alias("event_date")).distinct()
+            dated = batch.select("metric", "event_us", F.explode(days).alias("event_date"))
+            span = F.min(F.col("event_us") - window_us).alias("from_us"), F.max("event_us").alias("to_us")
+            touched = dated.groupBy("metric", "event_date").agg(*span)
             stored = batch.sparkSession.read.parquet(events_path).filter(F.col("batch_id") <= batch_id)
             stored = join_summary(stored, touched, ["metric", "event_date"], salt=["event_us"])
+            # of a touched day, only what lies in some window of the batch
+            stored = stored.filter(F.col("event_us").between(F.col("from_us"), F.col("to_us"))).drop("from_us", "to_us")
             fresh = detector.anomalies(stored, window_us).filter(F.col("batch_id") == batch_id)
             upsert_results(records(fresh, detector, detected_at), results_path, batch_id)
         finally:
@@ -225,7 +230,10 @@ def read_feed(spark: SparkSession, path: str, schema: StructType, before: int =
 
 
 def progress_rows(query: StreamingQuery) -> list[dict]:
-    """Per micro-batch: rows, duration, late rows and observed counters, from the query's progress."""
+    """Per micro-batch: rows, duration, late rows and observed counters, of the batches that the query remembers.
+
+    Those are the last hundred of this run; ``progress.ProgressLog`` keeps all.
+    """
     rows = []
     for p in query.recentProgress:
         observed = {
