@@ -9,8 +9,10 @@ and all events of the same instant belong to it. Three ways give the same number
             holds, and no group is larger than the instants of two slices, so a metric with a
             third of all rows is spread over as many tasks as it has slices.
 ``halo``    time buckets of at least ``W``; each event is also shown to the next bucket when it
-            can be in a window there. A moving frame does the rest.
-``frame``   the textbook moving frame with one partition per metric. For small data and tests.
+            can be in a window there. The moving frame does the rest inside each bucket.
+``frame``   the moving frame over any partition, cut at every whole window: a frame is the end of
+            one stretch of length ``W`` and the start of the next, so it is not added up anew for
+            each event. Its groups are the stretches, whatever size the partition has.
 """
 
 from __future__ import annotations
@@ -47,13 +49,14 @@ def settle(count: Column, mean: Column, variance: Column, low: Column, high: Col
 
 
 def frame_stats(events: DataFrame, window_us: int, partition: tuple[str, ...] = ("metric",), weight: Column | None = None) -> DataFrame:
-    """``events`` plus window statistics from a moving RANGE frame inside each partition."""
-    w = Window.partitionBy(*partition).orderBy("event_us").rangeBetween(-window_us, 0)
-    v = F.col("value") if weight is None else F.when(weight, F.col("value"))
-    columns = settle(
-        F.count(v).over(w), F.avg(v).over(w), F.var_samp(v).over(w), F.min(v).over(w), F.max(v).over(w)
-    )
-    return events.select("*", *columns)
+    """``events`` plus window statistics from a moving RANGE frame inside each partition.
+
+    As in a frame, rows without a time see each other, and a missing name is a partition of its own.
+    """
+    keys = (*partition, "event_us")
+    stats = instant_stats(events, window_us, 1, weight, partition).select(*[F.col(k).alias(f"of_{k}") for k in keys], *STATS)
+    same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]
+    return events.join(stats, same).drop(*[f"of_{k}" for k in keys])
 
 
 def with_halo(events: DataFrame, window_us: int, bucket_us: int, name: str = "bucket") -> DataFrame:
@@ -80,15 +83,15 @@ def halo_stats(events: DataFrame, window_us: int, bucket_us: int | None = None)
     return frame_stats(spread, window_us, ("metric", "bucket")).filter("core").drop("bucket", "core")
 
 
-def instants(events: DataFrame, weight: Column | None = None) -> DataFrame:
-    """Count, mean, squared deviations, smallest and largest value per metric and microsecond.
+def instants(events: DataFrame, weight: Column | None = None, partition: tuple[str, ...] = ("metric",)) -> DataFrame:
+    """Count, mean, squared deviations, smallest and largest value per metric (or other partition) and microsecond.
 
     The built-in aggregates combine map-side, so a burst of events at one instant reaches the
     shuffle as one row per task. ``weight`` limits which events count; an instant whose events
     do not count stays as a row with ``n = 0`` and still gets a window.
     """
     v = F.col("value") if weight is None else F.when(weight, F.col("value"))
-    return events.groupBy("metric", "event_us").agg(*_moments(v))
+    return events.groupBy(*partition, "event_us").agg(*_moments(v))
 
 
 def _moments(v: Column) -> list[Column]:
@@ -166,8 +169,17 @@ def _middle(events: DataFrame, window_us: int, width: int, weight: Column | None
     )
 
 
-def instant_stats(events: DataFrame, window_us: int, slices: int | None = None, weight: Column | None = None) -> DataFrame:
-    """Window statistics for every distinct (metric, event_us), by the ``sliced`` way."""
+def instant_stats(
+    events: DataFrame,
+    window_us: int,
+    slices: int | None = None,
+    weight: Column | None = None,
+    partition: tuple[str, ...] = ("metric",),
+) -> DataFrame:
+    """Window statistics for every distinct (metric, event_us), by the ``sliced`` way.
+
+    With one slice, windows may be kept inside any ``partition``; more slices are for metrics only.
+    """
     slices = slices or choose_slices(events, window_us)
     width = -(-window_us // slices)
     own = int_div("event_us", width)
@@ -176,11 +188,13 @@ def instant_stats(events: DataFrame, window_us: int, slices: int | None = None,
         F.struct(own.alias("slice"), F.col("event_us").alias("at"), F.lit(False).alias("leaving")),
         F.struct(int_div(f"(event_us + {window_us}L)", width).alias("slice"), (F.col("event_us") + window_us).alias("at"), F.lit(True).alias("leaving")),
     )
-    doubled = instants(events, weight).select("metric", "n", "avg", "ssd", "low", "high", F.inline(copies))
+    doubled = instants(events, weight, partition).select(*partition, "n", "avg", "ssd", "low", "high", F.inline(copies))
+    # what has no time never leaves
+    doubled = doubled.filter(F.col("at").isNotNull() | ~F.col("leaving"))
     if slices > 1:
         doubled = doubled.join(_middle(events, window_us, width, weight), ["metric", "slice"], "left")
 
-    group = Window.partitionBy("metric", "slice")
+    group = Window.partitionBy(*partition, "slice")
     rows = (Window.unboundedPreceding, Window.currentRow)
     head = group.orderBy("at", "leaving").rowsBetween(*rows)
     # a leaving instant at exactly t is still inside the window of t, so it sorts before it here
@@ -220,7 +234,7 @@ def instant_stats(events: DataFrame, window_us: int, slices: int | None = None,
         merged = merged.withColumns({f"n{i}": n2, f"avg{i}": avg2, f"ssd{i}": ssd2})
         n, avg, ssd = F.col(f"n{i}"), F.col(f"avg{i}"), F.col(f"ssd{i}")
     return merged.select(
-        "metric",
+        *partition,
         F.col("at").alias("event_us"),
         F.col("low").alias("instant_low"),
         F.col("high").alias("instant_high"),

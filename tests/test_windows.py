@@ -191,3 +191,26 @@ def test_summary_joins_do_not_shuffle_the_rows(spark):
     split = join_summary(rows, summary, ["k"], salt=["id"], limit=5)
     assert "_salt" in split._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, split.collect()))
+
+
+@pytest.mark.parametrize("options", [{"strategy": "frame"}])
+def test_work_of_a_frame_does_not_grow_with_its_events(spark, make_events, options):
+    """20,000 events in one window: a frame added up anew for each event would visit 200 million."""
+    n, window_us = 20_000, 10_000_000
+    rows = [("m", BASE + i * 7, float(i % 11)) for i in range(n)]
+    scored = windows.window_stats(make_events(rows), window_us, **options)
+    frames = [line for line in scored._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RangeFrame, -" in line]
+    assert not frames
+    got = {r.event_us: r for r in scored.collect()}
+    assert len(got) == n
+    for i in (0, 1, 9_999, n - 1):
+        mean, variance = statistics.fmean(r[2] for r in rows[: i + 1]), statistics.variance([r[2] for r in rows[: i + 1]]) if i else 0.0
+        r = got[rows[i][1]]
+        assert (r.window_count, r.mean, r.variance) == (i + 1, pytest.approx(mean), pytest.approx(variance))
+
+
+def test_frame_keeps_rows_without_name_or_time(spark):
+    rows = [(None, BASE, 1.0, "a"), (None, BASE + 5, 3.0, "b"), ("m", None, 2.0, "c"), ("m", None, 6.0, "d"), ("m", BASE, 9.0, "e"), ("m", BASE, None, "f")]
+    events = spark.createDataFrame(rows, "metric string, event_us bigint, value double, tag string")
+    got = {r.tag: (r.window_count, r.mean) for r in windows.window_stats(events, 100, "frame").collect()}
+    assert got == {"a": (1, 1.0), "b": (2, 2.0), "c": (2, 4.0), "d": (2, 4.0), "e": (1, 9.0), "f": (1, 9.0)}
