@@ -193,7 +193,7 @@ def test_summary_joins_do_not_shuffle_the_rows(spark):
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, split.collect()))
 
 
-@pytest.mark.parametrize("options", [{"strategy": "frame"}])
+@pytest.mark.parametrize("options", [{"strategy": "frame"}, {"strategy": "halo"}])
 def test_work_of_a_frame_does_not_grow_with_its_events(spark, make_events, options):
     """20,000 events in one window: a frame added up anew for each event would visit 200 million."""
     n, window_us = 20_000, 10_000_000
