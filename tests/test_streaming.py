@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,3 +244,73 @@ def test_progress_log_repeated_batches_and_faults(spark, tmp_path):
     assert progress.read_progress(spark, str(tmp_path / "none")).count() == 0
     with pytest.raises(ValueError):
         progress.ProgressLog(spark, path, every=0)
+
+
+class _Map(dict):
+    """The parts of keyed map state the windows use; counts what is unpacked at once."""
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def getValue(self, key):
+        return self[key]
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    removeKey = dict.__delitem__
+
+
+class _Handle:
+    def __init__(self):
+        self.timers, self.maps, self.lists, self.value = set(), {}, [], None
+        self.registerTimer, self.deleteTimer, self.listTimers = self.timers.add, self.timers.discard, lambda: sorted(self.timers)
+
+    def getMapState(self, name, *_):
+        return self.maps.setdefault(name, _Map())
+
+    def getListState(self, name, *_):
+        return type("L", (), {"appendValue": self.lists.append, "get": lambda _: list(self.lists), "put": lambda _, v: self.lists.__setitem__(slice(None), v), "clear": lambda _: self.lists.clear()})()
+
+    def getValueState(self, *_):
+        return type("V", (), {"get": lambda _: self.value, "update": lambda _, v: setattr(self, "value", v), "clear": lambda _: setattr(self, "value", None)})()
+
+
+def _batches(rows, size=500):
+    frame = pd.DataFrame([{"arrival": a, "event_us": t, "value": v, "event_id": i, "meta_json": None} for a, t, v, i in rows])
+    return (frame[n : n + size] for n in range(0, len(frame), size))
+
+
+def _watermark(us):
+    return type("T", (), {"getCurrentWatermarkInMs": lambda _: us // 1000})()
+
+
+@pytest.mark.parametrize("percentiles", [None, (10.0, 90.0)])
+def test_event_time_rows_of_a_busy_metric_are_scored_in_stretches(percentiles):
+    """8,000 rows of one micro-batch, in no order, over 50 windows; a fifth of them at one instant."""
+    rng = random.Random(3)
+    span = 50 * WINDOW_US
+    rows = [(0, BASE + (rng.randrange(0, span, 1000) if i % 5 else span // 2), float(rng.randrange(90)), f"{i:05d}") for i in range(8000)]
+    processor, handle = stateful.EventTimeWindow(WINDOW_US, percentiles), _Handle()
+    processor.pack_rows = 500
+    processor.init(handle)
+    half = BASE + 3 * span // 4
+    out = list(processor.handleInputRows(("m",), _batches(rows), _watermark(0)))
+    assert not out and handle.timers == {-(-min(r[1] for r in rows) // 1000)}
+    for passed in (half, BASE + 2 * span):
+        part = list(processor.handleExpiredTimer(("m",), _watermark(passed), None))
+        out += part
+        ahead = [r[1] for r in rows if r[1] > passed]
+        assert handle.timers == ({-(-min(ahead) // 1000)} if ahead else set())
+    assert max(len(f) for f in out) <= 500
+    assert not handle.maps["pending"] and handle.value is None
+    got = pd.concat(out).set_index("event_id")
+    assert sorted(got.index) == [r[3] for r in rows]
+    plain = [("m", r[1], r[2]) for r in rows]
+    for r in rng.sample(rows, 60):
+        values = brute.window_values(plain, "m", r[1], WINDOW_US)
+        n, mean, variance = brute.stats(values)
+        seen = got.loc[r[3]]
+        assert (seen["window_count"], seen["mean"], seen["variance"]) == (n, pytest.approx(mean), pytest.approx(variance))
+        if percentiles:
+            assert (seen["lower_bound"], seen["upper_bound"]) == brute.bounds(values, *percentiles)
