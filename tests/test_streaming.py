@@ -314,3 +314,30 @@ def test_event_time_rows_of_a_busy_metric_are_scored_in_stretches(percentiles):
         assert (seen["window_count"], seen["mean"], seen["variance"]) == (n, pytest.approx(mean), pytest.approx(variance))
         if percentiles:
             assert (seen["lower_bound"], seen["upper_bound"]) == brute.bounds(values, *percentiles)
+
+
+def test_rows_in_arrival_order_are_scored_in_stretches():
+    """Three micro-batches of 4,000 rows, dealt in no order, with ties and late events, against a plain list."""
+    rng = random.Random(4)
+    processor, handle = stateful.ArrivalWindow(WINDOW_US), _Handle()
+    processor.run_rows, processor.piece_rows = 1000, 50
+    processor.init(handle)
+    window, base = [], BASE
+    for batch in range(3):
+        rows = [(i // 3, base + i * 20_000 - rng.choice((0, 0, 0, 30 * MICROS)), float(rng.randrange(90)), f"{batch}-{i:05d}") for i in range(4000)]
+        base += 4000 * 20_000
+        expected = {}
+        for r in sorted(rows, key=lambda r: (r[0], r[1], r[3])):
+            window.append(r)
+            while window[0][1] < max(x[1] for x in window) - WINDOW_US:
+                window.pop(0)
+            expected[r[3]] = (len(window), sum(x[2] for x in window) / len(window))
+        rng.shuffle(rows)
+        out = list(processor.handleInputRows(("m",), _batches(rows), None))
+        assert max(len(f) for f in out) <= 1000
+        got = pd.concat(out)
+        assert list(got["event_id"]) == list(expected)
+        for r, (n, mean) in zip(got.itertuples(), expected.values()):
+            assert (r.window_count, r.mean) == (n, pytest.approx(mean))
+        chunks = handle.maps["chunks"]
+        assert len(window) <= sum(len(t) // 8 for t, _ in chunks.values()) < 4000 + len(window)
