@@ -341,3 +341,27 @@ def test_rows_in_arrival_order_are_scored_in_stretches():
             assert (r.window_count, r.mean) == (n, pytest.approx(mean))
         chunks = handle.maps["chunks"]
         assert len(window) <= sum(len(t) // 8 for t, _ in chunks.values()) < 4000 + len(window)
+
+
+def test_event_time_goes_on_after_a_restart_in_stretches():
+    """Six micro-batches that each bring a stretch and some rows of the next, with a new processor for each."""
+    rng = random.Random(5)
+    handle, out, rows, passed = _Handle(), [], [], 0
+    for batch in range(6):
+        start = BASE + batch * 10 * WINDOW_US
+        fresh = [(0, max(passed + 1, start + rng.randrange(12 * WINDOW_US)), float(rng.randrange(90)), f"{batch}-{i:04d}") for i in range(2000)]
+        rows += fresh
+        processor = stateful.EventTimeWindow(WINDOW_US)
+        processor.pack_rows = 300
+        processor.init(handle)
+        out += processor.handleInputRows(("m",), _batches(fresh, 100), _watermark(passed))
+        passed = (max(r[1] for r in rows) - 3 * WINDOW_US) // 1000 * 1000 if batch < 5 else start + 20 * WINDOW_US
+        out += processor.handleExpiredTimer(("m",), _watermark(passed), None)
+    assert max(len(f) for f in out) <= 300 and not handle.maps["pending"] and not handle.timers
+    got = pd.concat(out).set_index("event_id")
+    assert sorted(got.index) == sorted(r[3] for r in rows)
+    plain = [("m", r[1], r[2]) for r in rows]
+    for r in rng.sample(rows, 60):
+        n, mean, variance = brute.stats(brute.window_values(plain, "m", r[1], WINDOW_US))
+        seen = got.loc[r[3]]
+        assert (seen["window_count"], seen["mean"], seen["variance"]) == (n, pytest.approx(mean), pytest.approx(variance))
