@@ -8,8 +8,9 @@ and all events of the same instant belong to it. Three ways give the same number
             it ends, the instants that leave it during that slice, and all others in between. Work is O(n log n) however many events a window
             holds, and no group is larger than the instants of two slices, so a metric with a
             third of all rows is spread over as many tasks as it has slices.
-``halo``    time buckets of at least ``W``; each event is also shown to the next bucket when it
-            can be in a window there. The moving frame does the rest inside each bucket.
+``halo``    time buckets of at least ``W``; each instant is also shown to the next bucket when it
+            can be in a window there. Inside a bucket, stretches of length ``W`` count from its start, so
+            what comes from the bucket before is only ever the end of a frame.
 ``frame``   the moving frame over any partition, cut at every whole window: a frame is the end of
             one stretch of length ``W`` and the start of the next, so it is not added up anew for
             each event. Its groups are the stretches, whatever size the partition has.
@@ -53,8 +54,12 @@ def frame_stats(events: DataFrame, window_us: int, partition: tuple[str, ...] =
 
     As in a frame, rows without a time see each other, and a missing name is a partition of its own.
     """
-    keys = (*partition, "event_us")
-    stats = instant_stats(events, window_us, 1, weight, partition).select(*[F.col(k).alias(f"of_{k}") for k in keys], *STATS)
+    return _beside(events, instant_stats(events, window_us, 1, weight, partition), (*partition, "event_us"))
+
+
+def _beside(events: DataFrame, stats: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``events`` plus the statistics of their instant; a missing key is a key like others."""
+    stats = stats.select(*[F.col(k).alias(f"of_{k}") for k in keys], *STATS)
     same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys]
     return events.join(stats, same).drop(*[f"of_{k}" for k in keys])
 
@@ -79,8 +84,18 @@ def with_halo(events: DataFrame, window_us: int, bucket_us: int, name: str = "bu
 
 
 def halo_stats(events: DataFrame, window_us: int, bucket_us: int | None = None) -> DataFrame:
-    spread = with_halo(events, window_us, bucket_us or 4 * window_us)
-    return frame_stats(spread, window_us, ("metric", "bucket")).filter("core").drop("bucket", "core")
+    """``events`` plus window statistics from buckets, over instants that are combined before they are copied."""
+    bucket_us = bucket_us or 4 * window_us
+    spread = with_halo(instants(events), window_us, bucket_us)
+    place = lambda at: F.expr(f"({at} - bucket * {bucket_us}L) div {window_us}L")
+    out = f"(event_us + {window_us}L)"
+    # only the bucket's own instants ask for a window, and only stretches that begin in it hold one
+    copies = F.array(
+        F.when(F.col("core"), F.struct(place("event_us").alias("slice"), F.col("event_us").alias("at"), F.lit(False).alias("leaving"))),
+        F.when(place(out) * window_us < bucket_us, F.struct(place(out).alias("slice"), F.expr(out).alias("at"), F.lit(True).alias("leaving"))),
+    )
+    doubled = spread.select("metric", "bucket", "n", "avg", "ssd", "low", "high", F.inline(F.filter(copies, lambda c: c.isNotNull())))
+    return _beside(events, _swept(doubled, ("metric", "bucket")), ("metric", "event_us"))
 
 
 def instants(events: DataFrame, weight: Column | None = None, partition: tuple[str, ...] = ("metric",)) -> DataFrame:
@@ -193,19 +208,26 @@ def instant_stats(
     doubled = doubled.filter(F.col("at").isNotNull() | ~F.col("leaving"))
     if slices > 1:
         doubled = doubled.join(_middle(events, window_us, width, weight), ["metric", "slice"], "left")
+    return _swept(doubled, partition, middle=slices > 1)
+
 
+def _swept(doubled: DataFrame, partition: tuple[str, ...], middle: bool = False) -> DataFrame:
+    """Window statistics of the instants of each ``slice``, which stand ``at`` their time and again where they are ``leaving``."""
     group = Window.partitionBy(*partition, "slice")
     rows = (Window.unboundedPreceding, Window.currentRow)
     head = group.orderBy("at", "leaving").rowsBetween(*rows)
     # a leaving instant at exactly t is still inside the window of t, so it sorts before it here
     tail = group.orderBy(F.desc("at"), F.desc("leaving")).rowsBetween(*rows)
-    running, steps = {}, {}
+    # one direction after the other, so that a group is sorted once for each
+    staged = doubled
     for part, w, counted in (("head", head, ~F.col("leaving")), ("tail", tail, F.col("leaving"))):
         n = F.when(counted, F.col("n")).otherwise(F.lit(0))
-        running[f"{part}_n"] = F.sum(n).over(w)
-        running[f"{part}_sum"] = F.sum(n * F.col("avg")).over(w)
-        running[f"{part}_low"] = F.min(F.when(counted, F.col("low"))).over(w)
-        running[f"{part}_high"] = F.max(F.when(counted, F.col("high"))).over(w)
+        running = {
+            f"{part}_n": F.sum(n).over(w),
+            f"{part}_sum": F.sum(n * F.col("avg")).over(w),
+            f"{part}_low": F.min(F.when(counted, F.col("low"))).over(w),
+            f"{part}_high": F.max(F.when(counted, F.col("high"))).over(w),
+        }
         # squared deviations grow by a non-negative step per instant, so nothing cancels
         before_n = F.col(f"{part}_n") - n
         before_avg = (F.col(f"{part}_sum") - n * F.col("avg")) / before_n
@@ -214,8 +236,7 @@ def instant_stats(
             n > 0,
             F.col("ssd") + F.when(before_n > 0, gap * gap * n * before_n / F.col(f"{part}_n")).otherwise(F.lit(0.0)),
         ).otherwise(F.lit(0.0))
-        steps[f"{part}_ssd"] = F.sum(step).over(w)
-    staged = doubled.withColumns(running).withColumns(steps)
+        staged = staged.withColumns(running).withColumn(f"{part}_ssd", F.sum(step).over(w))
 
     own_rows = staged.filter(~F.col("leaving"))
     parts = [
@@ -223,7 +244,7 @@ def instant_stats(
         for p in ("head", "tail")
     ]
     lows, highs = ["head_low", "tail_low"], ["head_high", "tail_high"]
-    if slices > 1:
+    if middle:
         parts.append(tuple(F.coalesce(F.col(f"mid.{f}"), F.lit(0)) for f in ("n", "avg", "ssd")))
         lows, highs = [*lows, "mid_low"], [*highs, "mid_high"]
     merged = own_rows

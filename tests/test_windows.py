@@ -214,3 +214,34 @@ def test_frame_keeps_rows_without_name_or_time(spark):
     events = spark.createDataFrame(rows, "metric string, event_us bigint, value double, tag string")
     got = {r.tag: (r.window_count, r.mean) for r in windows.window_stats(events, 100, "frame").collect()}
     assert got == {"a": (1, 1.0), "b": (2, 2.0), "c": (2, 4.0), "d": (2, 4.0), "e": (1, 9.0), "f": (1, 9.0)}
+
+
+@pytest.mark.parametrize("bucket_us", [60_000, 60_001, 100_000, 119_999, 120_000, 150_000, 600_000])
+def test_buckets_of_any_length_equal_brute_force(make_events, bucket_us):
+    rows = [(m, t - BASE - 200_000, v) for m, t, v in _random_rows(seed=bucket_us)]  # also before 1970
+    rows += [("a", e, 1.0) for b in (-1, 0, 1) for e in (b * bucket_us, b * bucket_us - 1, b * bucket_us - 60_000, b * bucket_us - 60_001)]
+    _check(rows, windows.window_stats(make_events(rows), 60_000, "halo", bucket_us=bucket_us), 60_000)
+
+
+def test_buckets_keep_rows_without_name_or_time(spark):
+    rows = [(None, BASE, 1.0, "a"), (None, BASE + 5, 3.0, "b"), ("m", None, 2.0, "c"), ("m", None, 6.0, "d"), ("m", BASE, 9.0, "e"), ("m", BASE, None, "f")]
+    events = spark.createDataFrame(rows, "metric string, event_us bigint, value double, tag string")
+    got = {r.tag: (r.window_count, r.mean) for r in windows.window_stats(events, 100, "halo").collect()}
+    assert got == {"a": (1, 1.0), "b": (2, 2.0), "c": (2, 4.0), "d": (2, 4.0), "e": (1, 9.0), "f": (1, 9.0)}
+
+
+@pytest.mark.parametrize("options", [{"strategy": "frame"}, {"strategy": "halo"}, {"slices": 1}])
+def test_a_group_is_sorted_once_for_each_direction(make_events, options):
+    rows = _random_rows(seed=4, n=50)
+    plan = windows.window_stats(make_events(rows), 60_000, **options)._jdf.queryExecution().executedPlan().toString().splitlines()
+    plan = plan[: next((i for i, line in enumerate(plan) if "Initial Plan" in line), len(plan))]
+    assert sum("Sort [" in line and "slice" in line for line in plan) == 2
+
+
+def test_buckets_copy_instants_and_not_events(spark, make_events):
+    """500 events at one instant near a bucket's end are two or three rows of the copies, not a thousand."""
+    rows = [("m", BASE - BASE % 100_000 + 99_000, float(i)) for i in range(500)]
+    scored = windows.window_stats(make_events(rows), 60_000, "halo", bucket_us=100_000)
+    copies = [line for line in scored._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate inline" in line or "Aggregate [" in line]
+    assert copies and "Aggregate [" in copies[-1]
+    assert {r.window_count for r in scored.collect()} == {500}
