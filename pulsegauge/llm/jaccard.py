@@ -23,16 +23,16 @@ from pulsegauge.sources.sinks import stored
 SHINGLE, PERCENT = 3, 90
 #: Counters that estimate how often a shingle occurs; they only choose the order, never the result.
 COUNTERS = 1 << 18
-#: Rounds in which the first of every index list is compared with the rest of the list.
-STARS = 2
+#: Rounds in which pivots of every index list are compared with the rest of the list, and most pivots of a list.
+STARS, PIVOTS = 2, 64
 #: Members of a block, and partners of a pivot that meet one copy of its set.
 MEMBERS, PARTNERS = 512, 256
 #: Positions of one block of an index list.
 POSITIONS = 8
 #: Keys of 24 bytes that are sent to all tasks to pick texts by.
 SENT = 1_000_000
-#: Words of 64 bits in a set's parity sketch.
-SKETCH = tuple(f"s{i}" for i in range(4))
+#: Most cells of a set's parity sketch, as a power of two.
+CELLS = 24
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,14 +51,24 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def parities(found: np.ndarray) -> np.ndarray:
-    """A bit per hash cell: whether the set has an odd number of members there.
+    """A bit per hash cell, in words of 64: whether the set has an odd number of members there.
 
-    Members common to two sets cancel out, so the sketches differ in no more bits than the sets do in members.
+    Members common to two sets cancel out, so the sketches differ in no more bits than the sets do in members. There
+    are one to two cells for each member, in powers of two, so that large sets are told apart as well as small ones.
     """
-    odd = np.bincount((found >> np.uint64(40)).astype(np.int64) % (64 * len(SKETCH)), minlength=64 * len(SKETCH)) & 1
+    cells = 1 << min(CELLS, max(6, (len(found) - 1).bit_length()))
+    odd = np.bincount((found >> np.uint64(40)).astype(np.int64) & (cells - 1), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def bits_apart(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many cells two sketches differ, the larger one folded to the cells of the smaller."""
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())  # unsigned, as the sign of a number is no bit to numpy
+
+
 def needed(n: Column, m: Column, percent: int) -> Column:
     """Smallest intersection of two sets of these sizes that are similar enough."""
     return F.ceil((n + m) * F.lit(percent) / F.lit(100 + percent) - 1e-9)
@@ -93,7 +103,7 @@ def set_rows(docs: DataFrame, levels: np.ndarray, shingle: int, percent: int) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, sizes, prefixes, sketches = [], [], [], [np.zeros((0, len(SKETCH)), np.int64)]
+            codes, sizes, prefixes, sketches = [], [], [], []
             for text in batch.column(3):
                 found = shingle_set(text.as_py(), shingle)
                 n = len(found)
@@ -101,16 +111,14 @@ def set_rows(docs: DataFrame, levels: np.ndarray, shingle: int, percent: int) ->
                 order = np.lexsort((found, levels[found % COUNTERS]))[:first]
                 codes.append(xxhash.xxh3_128_digest(found.tobytes()))
                 sizes.append(n)
-                sketches.append(parities(found)[None])
+                sketches.append(parities(found))
                 prefixes.append(found[order].view(np.int64))
-            column = pa.array(prefixes, pa.list_(pa.int64()))
-            words = map(pa.array, np.concatenate(sketches).T)
-            yield pa.record_batch([*batch.columns[:3], pa.array(codes, pa.binary()), pa.array(sizes, pa.int64()), *words, column], names)
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (sketches, prefixes)]
+            yield pa.record_batch([*batch.columns[:3], pa.array(codes, pa.binary()), pa.array(sizes, pa.int64()), *lists], names)
 
-    names = ["doc_id", *KEY, "code", "n", *SKETCH, "prefix"]
-    words = ", ".join(f"{c} bigint" for c in SKETCH)
+    names = ["doc_id", *KEY, "code", "n", "sketch", "prefix"]
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *row_key(), "text")
-    return rows.mapInArrow(cut, f"doc_id bigint, {KEY[0]} bigint, {KEY[1]} bigint, code binary, n bigint, {words}, prefix array<bigint>")
+    return rows.mapInArrow(cut, f"doc_id bigint, {KEY[0]} bigint, {KEY[1]} bigint, code binary, n bigint, sketch array<bigint>, prefix array<bigint>")
 
 
 def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -145,10 +153,17 @@ def _beside_first(pairs: DataFrame, known: DataFrame) -> DataFrame:
 def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (``first``, ``cid``) whose sketches do not rule the link out: their sets differ in at least as many members
     as their sketches do in bits, and by the sizes at most in n + m - 2 * needed."""
-    own = classes.select("cid", "n", *SKETCH)
-    met = _beside_first(pairs, own.toDF("first", "m", *(f"{c}_first" for c in SKETCH))).join(own, "cid")
-    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_first"))) for c in SKETCH[1:]), F.bit_count(F.col(SKETCH[0]).bitwiseXOR(F.col(f"{SKETCH[0]}_first"))))
-    return stored(met.filter(apart <= F.col("n") + F.col("m") - 2 * needed(F.col("n"), F.col("m"), percent)).select("first", "cid"), "jaccard-plausible")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = zip(batch.column(2).to_pylist(), _numbers(batch.column(3)), _numbers(batch.column(4)))
+            kept = pa.array([bits_apart(a, b) <= most for most, a, b in each], pa.bool_())
+            yield batch.select(["first", "cid"]).filter(kept)
+
+    own = classes.select("cid", "n", "sketch")
+    met = _beside_first(pairs, own.toDF("first", "m", "sketch_first")).join(own, "cid")
+    most = (F.col("n") + F.col("m") - 2 * needed(F.col("n"), F.col("m"), percent)).cast("bigint").alias("most")
+    return stored(met.select("first", "cid", most, "sketch_first", "sketch").mapInArrow(near, "first bigint, cid bigint"), "jaccard-plausible")
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
@@ -173,10 +188,23 @@ def _compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: in
 
 
 def _lists(members: DataFrame) -> DataFrame:
-    """Members (``token``, ``cid``, ``n``, ``pos``, ``label``) of the index lists that hold more than one label, with ``pivot``."""
-    pivot = F.min(F.struct("cid", "n", "pos", "label")).alias("pivot")
-    several = members.groupBy("token").agg(pivot, F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    return stored(members.join(stored(several.select("token", "pivot"), "jaccard-lists"), "token"), "jaccard-members")
+    """Members (``token``, ``cid``, ``n``, ``pos``, ``label``) of the index lists that hold more than one label, with ``pivots``,
+    the smallest of each hash class of members.
+
+    Of lists with the same members only the one of the first shingle is kept. All sets are in one order, so it is the first
+    in each of them, and a pair that it rules out is ruled out by the others.
+    """
+    # two digests of 64 bits and the count tell the lists' members apart
+    same = [F.bit_xor(F.xxhash64("cid")).alias("these"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("those"), F.count("*").alias("size")]
+    ends = [F.min("label").alias("low"), F.max("label").alias("high")]
+    first = F.min(F.struct("cid", "n", "pos", "label"))
+    several = members.groupBy("token").agg(first.alias("first"), *same, *ends).filter("low < high")
+    # lists of the same members have the same first one
+    one = several.groupBy("these", "those", "size").agg(F.min(F.struct("first", "token")).alias("list"))
+    kept = stored(members.join(stored(one.select("list.token"), "jaccard-lists"), "token"), "jaccard-kept")
+    classed = kept.groupBy("token", F.pmod(F.xxhash64("cid"), F.lit(PIVOTS)).alias("class")).agg(first.alias("pivot"))
+    pivots = classed.groupBy("token").agg(F.collect_list("pivot").alias("pivots"))
+    return stored(kept.join(pivots, "token"), "jaccard-members")
 
 
 def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -240,7 +268,7 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     if not 1 <= percent <= 100:
         raise ValueError("the similarity is a percentage from 1 to 100")
     rows = stored(set_rows(docs, shingle_levels(docs, shingle), shingle, percent), "jaccard-rows")
-    one = [F.min("doc_id").alias("first_id"), F.min(F.struct(*KEY)).alias("key"), *(F.first(c).alias(c) for c in ("n", *SKETCH, "prefix"))]
+    one = [F.min("doc_id").alias("first_id"), F.min(F.struct(*KEY)).alias("key"), *(F.first(c).alias(c) for c in ("n", "sketch", "prefix"))]
     classes = stored(rows.filter("n > 0").groupBy("code").agg(*one).withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
     # numbered by the store; spread over tasks again, as a class multiplies into its prefix
     index = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -255,16 +283,16 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     for _ in range(STARS):
         if live.isEmpty():
             break
-        p = F.col("pivot")
-        fit = (F.col("label") != p["label"]) & may_link(F.col("n"), F.col("pos"), p["n"], p["pos"], percent)
-        pairs = stored(live.filter(fit).select(p["cid"].alias("first"), "cid").distinct(), "jaccard-pairs")
+        fit = lambda p: (F.col("label") != p["label"]) & may_link(F.col("n"), F.col("pos"), p["n"], p["pos"], percent)
+        met, p = live.select("cid", F.explode(F.filter("pivots", fit)).alias("p")), F.col("p")
+        pairs = stored(met.select(F.least(p["cid"], "cid").alias("first"), F.greatest(p["cid"], "cid").alias("cid")).distinct(), "jaccard-pairs")
         compared = _compared(_plausible(pairs, classes, percent), docs, classes, shingle)
         answers = compared if answers is None else answers.union(compared)
         found = linked(compared)
         links = stored(found if links is None else links.union(found), "jaccard-links")
         labels = components(links.toDF("a", "b"))
-        # a list's pivot has met all of its list; lists of one label have no more to tell
-        rest = live.filter(F.col("cid") != p["cid"]).select("token", "cid", "n", "pos")
+        # a list's pivots have met all of their list; lists of one label have no more to tell
+        rest = live.filter(~F.array_contains("pivots.cid", F.col("cid"))).select("token", "cid", "n", "pos")
         named = rest.join(labels.toDF("cid", "root"), "cid", "left")
         live = _lists(named.select("token", "cid", "n", "pos", F.coalesce("root", "cid").alias("label")))
     if not live.isEmpty():

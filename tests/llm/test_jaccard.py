@@ -93,3 +93,32 @@ def test_odd_rows(odd_docs, no_docs):
     assert jaccard.similar_sets(no_docs).count() == 0
     with pytest.raises(ValueError):
         jaccard.similar_sets(no_docs, percent=0)
+
+
+@pytest.mark.parametrize("size", [1, 5, 64, 65, 300, 5000])
+def test_sketches_never_differ_in_more_bits_than_sets_and_tell_large_sets_apart(size):
+    rng = np.random.default_rng(size)
+    for other in (size, size + size // 9, 2 * size):
+        a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2))
+        for shared in (0, size // 2, size - size // 30, size):
+            b = np.unique(np.concatenate((a[:shared], rng.integers(0, 1 << 63, other - shared).astype(np.uint64))))
+            apart = jaccard.bits_apart(jaccard.parities(a), jaccard.parities(b))
+            assert apart == jaccard.bits_apart(jaccard.parities(b), jaccard.parities(a)) <= len(np.setxor1d(a, b))
+            if size >= 300 and shared <= size // 2:  # the most that linked sets of these sizes differ in
+                assert apart > len(a) + len(b) - 2 * np.ceil((len(a) + len(b)) * 90 / 190)
+
+
+def test_lists_of_the_same_members_are_kept_once(spark):
+    rows = [(t, c, 100, t + c, c) for t in range(5) for c in range(70)] + [(9, c, 100, 40, c) for c in range(69)] + [(7, c, 100, 3, 1) for c in range(4)]
+    live = jaccard._lists(spark.createDataFrame(rows, "token bigint, cid bigint, n bigint, pos bigint, label bigint")).collect()
+    assert sorted((r.token, r.cid, r.pos) for r in live) == sorted((t, c, p) for t, c, _, p, _ in rows if t in (0, 9))
+    for token in (0, 9):
+        (pivots,) = {tuple(p.cid for p in r.pivots) for r in live if r.token == token}
+        assert 1 < len(set(pivots)) == len(pivots) <= jaccard.PIVOTS and 0 in pivots
+
+
+def test_few_pivots_leave_the_rest_to_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "STARS", 1)
+    monkeypatch.setattr(jaccard, "PIVOTS", 3)
+    rows = list(enumerate(near_copies(7, 25, 150)))
+    assert found(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute(rows)
