@@ -1,8 +1,9 @@
 """Similarity join of texts by exact Jaccard similarity of their word shingles, with set-relation skipping.
 
 Every set is ordered by one global order, rare shingles first, and its prefix goes into an inverted index: two sets that
-are similar enough share a shingle of their prefixes. Index lists are cut into blocks by size and position, and pairs of
-blocks whose sizes or positions rule out the overlap asked for are skipped whole. Sets that were compared with one pivot
+are similar enough share a shingle of their prefixes. Some pivots of every index list meet the rest of it first; what then still
+has several labels is cut into blocks by size and position, and pairs of blocks whose sizes or positions rule out the
+overlap asked for are skipped whole. Sets that were compared with one pivot
 keep how they differ from it, so that further answers between them follow from these differences alone.
 """
 
